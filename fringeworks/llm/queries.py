@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, sentencepieces, token_counts
+from . import media, minhash, packing, sentencepieces, token_counts
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("tile_npy")
 
 
+def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -34,6 +38,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
     "op4_media_columns": op4_media_columns,
+    "op6_circulant_minhash": op6_circulant_minhash,
     "op8_token_counts": op8_token_counts,
     "op10_sentence_pieces": op10_sentence_pieces,
 }
