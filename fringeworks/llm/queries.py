@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, minhash, packing, sentencepieces, token_counts
+from . import language_id, media, minhash, packing, sentencepieces, token_counts, toxicity
 from .common import read
 
 
@@ -17,6 +17,13 @@ def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~language_id.held_out()))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.features(media.store_texts(read(spark, sf_dir, "documents")), keep_tile=False)
     return found.drop("tile_npy")
@@ -26,6 +33,11 @@ def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2)
 
 
+def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -37,8 +49,10 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
+    "op2_output_codes": op2_output_codes,
     "op4_media_columns": op4_media_columns,
     "op6_circulant_minhash": op6_circulant_minhash,
+    "op7_ordinal_toxicity": op7_ordinal_toxicity,
     "op8_token_counts": op8_token_counts,
     "op10_sentence_pieces": op10_sentence_pieces,
 }
