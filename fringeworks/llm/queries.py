@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, minhash, packing, sentencepieces, token_counts, toxicity
+from . import ann, language_id, licenses, media, minhash, packing, sentencepieces, token_counts, toxicity
 from .common import read
 
 
@@ -24,6 +24,11 @@ def op2_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.search(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.features(media.store_texts(read(spark, sf_dir, "documents")), keep_tile=False)
     return found.drop("tile_npy")
@@ -43,6 +48,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op9_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.round_trip_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -50,11 +59,13 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
     "op2_output_codes": op2_output_codes,
+    "op3_one_bit_codes": op3_one_bit_codes,
     "op4_media_columns": op4_media_columns,
     "op6_circulant_minhash": op6_circulant_minhash,
     "op7_ordinal_toxicity": op7_ordinal_toxicity,
     "op8_token_counts": op8_token_counts,
+    "op9_license_sentences": op9_license_sentences,
     "op10_sentence_pieces": op10_sentence_pieces,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_license_sentences": licenses.oracle_sql()}
