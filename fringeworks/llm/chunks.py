@@ -55,6 +55,25 @@ class ChunkCache:
         return out
 
 
+    def many(self, lists: list[list[str]]) -> list[list]:
+        """``values`` of each list, encoding what is missing from all of them at once."""
+        outs = [list(map(self.kept.get, chunks)) for chunks in lists]
+        gaps = [(i, [j for j, v in enumerate(out) if v is None]) for i, out in enumerate(outs) if None in out]
+        missing = {lists[i][j] for i, at in gaps for j in at}
+        if missing:
+            names = list(missing)
+            found = dict(zip(names, self.encode(names), strict=True))
+            for i, at in gaps:
+                out, chunk = outs[i], lists[i]
+                for j in at:
+                    out[j] = found[chunk[j]]
+            if len(self.kept) + len(found) > self.entries + len(self.frequent):
+                self.kept = dict(self.frequent)
+            if len(found) <= self.entries:
+                self.kept.update((c, v) for c, v in found.items() if len(c) <= MAX_KEY)
+        return outs
+
+
 def unsure(text: str) -> bool:
     return not text.isascii() and _UNSURE.search(text) is not None or text.isascii() and _CONTROL.search(text) is not None
 

@@ -16,6 +16,7 @@ The ids cross the network once.  No window or task sees more than its range.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,10 @@ from .common import map_batches, materialize, text_column
 
 BUCKETS, DIMS, BITS = 256, 4, 10
 LENGTH = 4096
+CACHE_ENTRIES = 800_000
+#: Pre-tokens of Latin-1 text without apostrophes, for which folding case by
+#: character is what the tokenizer does.
+CUT = re.compile(r"[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
 _workers: dict = {}
 
 
@@ -86,30 +91,81 @@ def curve_keys(texts: list[str]) -> np.ndarray:
     return hilbert(np.minimum((squashed * (top + 1)).astype(np.int64), top), BITS)
 
 
-def _tokenizer(path: str) -> tuple:
+def latin(text: str) -> bool:
+    """Only Latin-1 characters and no apostrophe."""
+    if "'" in text:
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class IdEncoder:
+    """Ids of texts as bytes of 16 or 32 bits each, without special tokens."""
+
+    def __init__(self, path: str):
+        self.tok = chunks.load_tokenizer(path)
+        self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        self.special = chunks.special_strings(self.tok)
+        self.ends = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        for piece, i in self.tok.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = piece.endswith("</w>")
+        self.cache = chunks.ChunkCache(self.encode, entries=CACHE_ENTRIES)
+
+    def each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Pre-tokens go to the library as one text; the ids are parted at word ends."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                raw, edges = ids.tobytes(), [0, *(cuts * ids.itemsize).tolist()]
+                out += [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+            else:
+                out += self.each(part)
+        return out
+
+    def encode(self, names: list[str]) -> list[bytes]:
+        """Pre-tokens of Latin-1 texts together, other chunks one by one."""
+        words = [c for c in names if CUT.fullmatch(c)]
+        rest = [c for c in names if not CUT.fullmatch(c)]
+        out = dict(zip(words, self.encode_words(words), strict=True))
+        out.update(zip(rest, self.each(rest), strict=True))
+        return [out[c] for c in names]
+
+    def split(self, text: str) -> list[str] | None:
+        """Chunks, or None for a text that the library should see whole."""
+        if chunks.unsure(text) or (self.special and self.special.search(text)):
+            return None
+        return CUT.findall(text.lower()) if latin(text) else text.split()
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        parts = [self.split(t) for t in texts]
+        values = self.cache.many([p or [] for p in parts])
+        return [b"".join(v) if p is not None else self.each([t])[0] for t, p, v in zip(texts, parts, values, strict=True)]
+
+
+def _encoder(path: str) -> IdEncoder:
     if path not in _workers:
-        tok = chunks.load_tokenizer(path)
-        kind = np.uint16 if tok.get_vocab_size() <= 1 << 16 else np.uint32
-
-        def encode(xs: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype=kind).tobytes() for e in tok.encode_batch_fast(xs, add_special_tokens=False)]
-
-        _workers[path] = (tok, chunks.special_strings(tok), chunks.ChunkCache(encode), kind)
+        _workers[path] = IdEncoder(path)
     return _workers[path]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    tok, special, cache, kind = _tokenizer(path)
-    end = np.array([end_id], dtype=kind).tobytes()
+    coder = _encoder(path)
+    end = np.array([end_id], dtype=coder.kind).tobytes()
     for b in batches:
         texts = b.column("text").to_pylist()
-        out = []
-        for t in texts:
-            if chunks.unsure(t) or (special and special.search(t)):
-                out.append(cache.encode([t])[0] + end)
-            else:
-                out.append(b"".join(cache.values(t.split())) + end)
-        n = [len(x) // kind().itemsize for x in out]
+        out = [x + end for x in coder.texts(texts)]
+        n = [len(x) // coder.kind().itemsize for x in out]
         yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(curve_keys(texts), pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["row", "doc_id", "key", "n", "ids"])
 
 
@@ -123,7 +179,7 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterator[pa.RecordBatch]:
-    kind = _tokenizer(path)[3]
+    kind = _encoder(path).kind
     for b in batches:
         doc, start, size, total, seq, off, ids = [], [], [], [], [], [], []
         for d, place, raw in zip(b.column("doc_id").to_pylist(), b.column("place").to_pylist(), b.column("ids"), strict=True):
