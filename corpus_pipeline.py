@@ -1,15 +1,72 @@
-"""The corpus pipeline; stages are added as their operators are."""
+"""The corpus pipeline: documents in, packed sequences out.
+
+Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet
+and read again as the next stage's docs.  All but the last return the columns of
+documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fringeworks.llm import language_id, minhash, packing, pii, toxicity
+from fringeworks.llm.common import materialize
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, and texts between two languages, go."""
+    model = language_id.train(docs.filter(~language_id.held_out()))
+    found = language_id.identify(docs, model, keep=tuple(docs.columns))
+    # Without any labelled row there is no language to tell, and all stays.
+    return (found.filter((F.col("lang_pred") != "und") & ~F.col("ambiguous")) if model.langs else found).select(*docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts more likely toxic than not go."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.grade(docs, model, keep=tuple(docs.columns)).filter(~F.col("toxic")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies (five-word shingles, similarity 0.8 or
+    more) the document with the smallest id stays."""
+    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities get keyed surrogates; n_chars follows the new text."""
+    new = pii.pseudonymize(docs)
+    if "n_chars" in docs.columns:
+        new = new.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return new.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens along the curve."""
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("toxicity", toxic),
+    ("near_duplicates", near_duplicates),
+    ("pii", personal_data),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: The model stages and the tokenizer are beyond SQL; tests/llm compare each
+#: stage with a brute-force version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

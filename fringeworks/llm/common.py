@@ -72,6 +72,22 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def pack_row(df: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
+    """``row``, a struct of the columns to keep by position, so that their names
+    clash with nothing; the text is its field ``text``, once."""
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep) if c != text]
+    return df.select(F.struct(*fields, F.col(f"`{text}`").alias("text")).alias("row"))
+
+
+def unpack_row(df: DataFrame, keep: tuple[str, ...], text: str, *added: str) -> DataFrame:
+    return df.select(*[F.col("row.text" if c == text else f"row.c{i}").alias(c) for i, c in enumerate(keep)], *added)
+
+
+def row_texts(batch: pa.RecordBatch) -> list[str | None]:
+    row = batch.column("row")
+    return row.field(row.type.get_field_index("text")).to_pylist()
+
+
 def text_column(df: DataFrame, text: str = "text"):
     """The text with null read as empty."""
     return F.coalesce(F.col(text), F.lit(""))

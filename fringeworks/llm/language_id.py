@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_column
+from .common import map_batches, pack_row, row_texts, unpack_row
 
 TRIGRAM_BITS = 12
 DIMS = 256 + (1 << TRIGRAM_BITS)
@@ -141,7 +141,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
     m: LanguageModel = model.value
     for b in batches:
         preds, scores, unsure = [], [], []
-        texts = b.column("text").to_pylist()
+        texts = row_texts(b)
         for i in range(0, len(texts), 256):
             part = texts[i : i + 256]
             known = [t is not None and bool(m.langs) and any(map(str.isalpha, t)) for t in part]
@@ -169,10 +169,10 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     pass through; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).alias("row"), F.col(text_col).alias("text"))
+    packed = pack_row(docs, keep, text_col)
     kind = packed.schema["row"].dataType.simpleString()
     out = map_batches(packed, lambda it: _predict(it, shared), f"row {kind}, lang_pred string, score double, ambiguous boolean")
-    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "ambiguous")
+    return unpack_row(out, keep, text_col, "lang_pred", "score", "ambiguous")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, language_id, licenses, media, minhash, packing, sentencepieces, token_counts, toxicity
+from . import ann, language_id, licenses, media, minhash, packing, pii, sentencepieces, token_counts, toxicity
 from .common import read
 
 
@@ -34,6 +34,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("tile_npy")
 
 
+def op5_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2)
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_output_codes": op2_output_codes,
     "op3_one_bit_codes": op3_one_bit_codes,
     "op4_media_columns": op4_media_columns,
+    "op5_keyed_surrogates": op5_keyed_surrogates,
     "op6_circulant_minhash": op6_circulant_minhash,
     "op7_ordinal_toxicity": op7_ordinal_toxicity,
     "op8_token_counts": op8_token_counts,

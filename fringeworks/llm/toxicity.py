@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import map_batches, materialize, text_column
+from .common import map_batches, materialize, pack_row, row_texts, unpack_row
 
 #: Lengths in bytes of word beginnings; 0 is the whole word.
 LENGTHS = (0, 4, 5, 6, 7, 8, 10)
@@ -153,8 +153,8 @@ def _grade(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         table[model.slots] = model.weights
     for b in batches:
         scores = []
-        for t in b.column("text").to_pylist():
-            s, n = slots(t.encode())
+        for t in row_texts(b):
+            s, n = slots((t or "").encode())
             scores.append(float(table[s].sum(dtype=np.float64)) * PER_WORDS / max(n, PER_WORDS))
         if model is None:
             above = np.zeros((len(scores), GRADES))
@@ -177,7 +177,7 @@ def grade(docs: DataFrame, model: OrdinalModel | None, keep: tuple[str, ...] = (
     through; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).alias("row"), text_column(docs, text_col).alias("text"))
+    packed = pack_row(docs, keep, text_col)
     kind = packed.schema["row"].dataType.simpleString()
     out = map_batches(packed, lambda it: _grade(it, shared), f"row {kind}, severity double, grade int, p_toxic double, toxic boolean")
-    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], "severity", "grade", "p_toxic", "toxic")
+    return unpack_row(out, keep, text_col, "severity", "grade", "p_toxic", "toxic")
