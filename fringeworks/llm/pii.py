@@ -4,8 +4,9 @@ Each entity gets a replacement drawn by a keyed hash of its kind and value: the
 same value has the same replacement in every text, characters keep their class
 and separators their place, cards keep the standing of their check digit, names
 keep gender and script.  One pass collects the distinct values of the corpus and
-draws again, with a higher attempt number, where two values share a replacement
-or a replacement is itself a value of the corpus, until all are distinct.  A
+draws again, with a higher attempt number, where two values share a replacement,
+or a replacement is itself a value of the corpus or shows the value it stands for,
+until all are distinct.  A
 second pass writes the texts; only the few values drawn again need a lookup.
 """
 
@@ -55,9 +56,16 @@ NAME = "|".join(
         _given([*POOLS["given_m_cyrl"], *POOLS["given_f_cyrl"]], _CYRL),
     ]
 )
-PATTERN = f"{EMAIL}|{SECRET}|{IP}|{PHONE}|{SSN}|{CARD}|{NAME}"
+#: Entities start a token, with one of these; both checks come before any
+#: alternative, so other positions cost two looks at a character class.
+_START = r"(?<![0-9A-Za-zÀ-ɏА-яёЁ])(?=[0-9a-f+(A-ZÀ-ÞА-ЯЁг])"
+OTHER = rf"{_START}(?:{SECRET}|{IP}|{PHONE}|{SSN}|{CARD}|{NAME})"
+PATTERN = f"{EMAIL}|{OTHER}"
 #: A text without any of these holds no entity, so it is not searched further.
-HINT = rf"[0-9@]|(?:{_any(TITLES['m_latn'], TITLES['f_latn'], TITLES['m_cyrl'], TITLES['f_cyrl'], *[POOLS[k] for k in POOLS if k.startswith('given')])})\.? \p{{Lu}}"
+_FIRST = _any(*TITLES.values(), *[POOLS[k] for k in POOLS if k.startswith("given")])
+HINT = rf"[0-9@]|(?=[A-ZÀ-ÞА-ЯЁг])(?<![0-9A-Za-zÀ-ɏА-яёЁ])(?:{_FIRST})\.? \p{{Lu}}"
+#: Bits of the map that tells which rows may hold a value drawn again.
+MAP_BITS = 16
 DEFAULT_KEY = "fringeworks"
 
 
@@ -140,11 +148,16 @@ def surrogate(kind: str, value: str, attempt: str, key: str) -> str:
       when 'ssn' then {ssn} when 'secret' then {turn(value, h, True)} else case {names} end end"""
 
 
+def _hits(text: str, fn):
+    """``fn`` of the pattern that fits the text: addresses are sought only where
+    there is an @."""
+    return F.when(F.contains(F.col(text), F.lit("@")), fn(PATTERN)).otherwise(fn(OTHER))
+
+
 def entities(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with _found: the entities of the text in order, as they stand there."""
-    hinted = F.col(text).rlike(HINT)
-    found = F.regexp_extract_all(F.col(text), F.lit(PATTERN), 0)
-    return df.withColumn("_found", F.when(hinted, found).otherwise(F.array().cast("array<string>")))
+    found = _hits(text, lambda p: F.regexp_extract_all(F.col(text), F.lit(p), 0))
+    return df.withColumn("_found", F.when(F.col(text).rlike(HINT), found).otherwise(F.array().cast("array<string>")))
 
 
 def redrawn(found: DataFrame, key: str) -> DataFrame | None:
@@ -157,7 +170,8 @@ def redrawn(found: DataFrame, key: str) -> DataFrame | None:
         # The first value, by attempt and then by hash, keeps a replacement that several drew.
         keeper = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", F.xxhash64("value").alias("h"), "value")).alias("keeper"), F.count("*").alias("n"))
         judged = drawn.join(keeper, ["kind", "surrogate"]).join(known, ["kind", "surrogate"], "left")
-        clash = ((F.col("n") > 1) & (F.col("keeper.value") != F.col("value"))) | F.coalesce("real", F.lit(False))
+        shows = F.contains(F.lower("surrogate"), F.lower("value"))
+        clash = ((F.col("n") > 1) & (F.col("keeper.value") != F.col("value"))) | F.coalesce("real", F.lit(False)) | shows
         judged = materialize(judged.select("kind", "value", "attempt", clash.alias("clash")), "pii-judged")
         if judged.filter("clash").isEmpty():
             break
@@ -183,17 +197,36 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     again = redrawn(parts, key)
     marked = entities(plain, text_col)
     if again is None:
-        lookup = "0"
-    else:
-        # Rows whose entities were drawn again take their attempts from a lookup.
-        marked = materialize(marked.withColumn("_row", F.monotonically_increasing_id()), "pii-marked")
-        keys = marked.select("_row", F.explode("_found").alias("v")).select("_row", F.explode(F.expr(_parts("v"))).alias("p")).select("_row", "p.kind", "p.value").distinct()
-        wanted = keys.join(again, ["kind", "value"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("_again"))
-        marked = marked.join(wanted, "_row", "left")
-        lookup = "coalesce(element_at(_again, concat_ws('|', p.kind, p.value)), 0)"
-    piece = f"concat(p.lead, {surrogate('p.kind', 'p.value', lookup, key)})"
+        return _written(marked, text_col, names, key, "0")
+    # Only rows that may hold a value drawn again are looked up; the map has a fixed
+    # size, and where it fills up more rows take the way of the lookup.
+    maybe = _maybe(again)
+    calm = _written(marked.filter(~maybe), text_col, names, key, "0")
+    rows = materialize(marked.filter(maybe).withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
+    held = rows.select("_row", F.explode("_found").alias("v")).select("_row", F.explode(F.expr(_parts("v"))).alias("p")).select("_row", "p.kind", "p.value").distinct()
+    wanted = held.join(again, ["kind", "value"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("_again"))
+    lookup = "coalesce(element_at(_again, concat_ws('|', p.kind, p.value)), 0)"
+    return calm.unionByName(_written(rows.join(wanted, "_row", "left"), text_col, names, key, lookup))
+
+
+def _slot(kind: str, value: str) -> str:
+    return f"pmod(xxhash64({kind}, {value}), {1 << MAP_BITS})"
+
+
+def _maybe(again: DataFrame):
+    slot = again.select(F.expr(_slot("kind", "value")).alias("slot"))
+    words = {r["w"]: r["bits"] for r in slot.groupBy(F.expr("cast(slot div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).collect()}
+    literal = "array(" + ", ".join(f"{words.get(i, 0)}L" if words.get(i, 0) != -(1 << 63) else "cast(-9223372036854775808 as bigint)" for i in range(1 << MAP_BITS - 6)) + ")"
+    slot = _slot("p.kind", "p.value")
+    bit = f"getbit(element_at({literal}, cast({slot} div 64 as int) + 1), cast({slot} % 64 as int)) = 1"
+    return F.expr(f"exists(_found, v -> exists({_parts('v')}, p -> {bit}))")
+
+
+def _written(marked: DataFrame, text_col: str, names: list[str], key: str, attempt: str) -> DataFrame:
+    """The columns ``names`` with the entities in _found replaced, and n_entities."""
+    piece = f"concat(p.lead, {surrogate('p.kind', 'p.value', attempt, key)})"
     whole = f"transform(_found, v -> array_join(transform({_parts('v')}, p -> {piece}), ''))"
-    between = F.split(F.col(f"`{text_col}`"), PATTERN, -1)
+    between = _hits(text_col, lambda p: F.split(F.col(f"`{text_col}`"), p, -1))
     woven = F.array_join(F.flatten(F.zip_with(between, F.concat(F.expr(whole), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
     new = F.when(F.size("_found") > 0, woven).otherwise(F.col(f"`{text_col}`"))
     count = F.greatest(F.size("_found"), F.lit(0)).cast("long")
