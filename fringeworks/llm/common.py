@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -67,9 +69,38 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+_state: dict = {}
+
+
+def worker_state(key: tuple, build: Callable):
+    """What a worker keeps from task to task (a model, a cache): one thing at a time."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = build()
+    return _state[key]
+
+
+def _release(key: tuple | None) -> None:
+    """Workers are used again for other operators; what the last one kept is given
+    back to the machine first."""
+    if _state and key not in _state:
+        _state.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, state: tuple | None = None) -> DataFrame:
+    """``fn`` over Arrow batches; ``state`` is the key of the worker state it uses."""
     arrow_limits(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release(state)
+        return fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def pack_row(df: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks, textvec
-from .common import map_batches, materialize, text_column
+from .common import map_batches, materialize, text_column, worker_state
 
 BUCKETS, DIMS, BITS = 256, 4, 10
 LENGTH = 4096
@@ -34,7 +34,6 @@ CACHE_ENTRIES = 800_000
 #: Pre-tokens of Latin-1 text without apostrophes, for which folding case by
 #: character is what the tokenizer does.
 CUT = re.compile(r"[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
-_workers: dict = {}
 
 
 def hilbert(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -154,9 +153,7 @@ class IdEncoder:
 
 
 def _encoder(path: str) -> IdEncoder:
-    if path not in _workers:
-        _workers[path] = IdEncoder(path)
-    return _workers[path]
+    return worker_state(("packing", path), lambda: IdEncoder(path))
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -178,12 +175,11 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = int(end[-1]) if len(end) else at
 
 
-def _cut(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterator[pa.RecordBatch]:
-    kind = _encoder(path).kind
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         doc, start, size, total, seq, off, ids = [], [], [], [], [], [], []
-        for d, place, raw in zip(b.column("doc_id").to_pylist(), b.column("place").to_pylist(), b.column("ids"), strict=True):
-            x = np.frombuffer(raw.as_buffer(), dtype=kind)
+        for d, place, n, raw in zip(b.column("doc_id").to_pylist(), b.column("place").to_pylist(), b.column("n").to_pylist(), b.column("ids"), strict=True):
+            x = np.frombuffer(raw.as_buffer(), dtype=f"<u{len(raw.as_buffer()) // n}")
             at = 0
             while at < len(x):
                 s, o = divmod(place + at, length)
@@ -213,7 +209,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
     """
     spark = docs.sparkSession
     picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
-    coded = materialize(map_batches(picked, lambda it: _encode(it, tokenizer_path, end_id), "row long, doc_id long, key long, n long, ids binary"), "pack-ids")
+    coded = materialize(map_batches(picked, lambda it: _encode(it, tokenizer_path, end_id), "row long, doc_id long, key long, n long, ids binary", ("packing", tokenizer_path)), "pack-ids")
     curve = coded.select("key", "doc_id", "row", "n").repartitionByRange("key", "doc_id", "row").sortWithinPartitions("key", "doc_id", "row")
     placed = materialize(map_batches(curve, _running, "row long, part int, begin long, done long"), "pack-places")
     # One row per range: as many as shuffle partitions, whatever the input.
@@ -224,5 +220,5 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
         at += n
     base = spark.createDataFrame(bases, "part int, base long")
     places = placed.join(F.broadcast(base), "part").select("row", (F.col("begin") + F.col("base")).alias("place"))
-    joined = coded.select("row", "doc_id", "ids").join(places.hint("shuffle_hash"), "row").select("doc_id", "place", "ids")
-    return map_batches(joined, lambda it: _cut(it, tokenizer_path, length), PIECES)
+    joined = coded.select("row", "doc_id", "n", "ids").join(places.hint("shuffle_hash"), "row").select("doc_id", "place", "n", "ids")
+    return map_batches(joined, lambda it: _cut(it, length), PIECES)

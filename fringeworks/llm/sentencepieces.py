@@ -24,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import map_batches, text_column
+from .common import map_batches, text_column, worker_state
 
 BLANK = "▁"
 PAIR_ENTRIES = 1 << 20
-_workers: dict = {}
 
 
 class PieceEncoder:
@@ -148,11 +147,13 @@ class PieceEncoder:
         return self.cut.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
 
+def _build(path: str) -> tuple[PieceEncoder, chunks.ChunkCache]:
+    e = PieceEncoder(path)
+    return e, chunks.ChunkCache(lambda xs: [tuple(e.chunk(x)) for x in xs])
+
+
 def encoder(path: str) -> tuple[PieceEncoder, chunks.ChunkCache]:
-    if path not in _workers:
-        e = PieceEncoder(path)
-        _workers[path] = (e, chunks.ChunkCache(lambda xs: [tuple(e.chunk(x)) for x in xs]))
-    return _workers[path]
+    return worker_state(("pieces", path), lambda: _build(path))
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -170,7 +171,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     empty tables pass through; columns besides the two named are not read.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
-    return map_batches(picked, lambda it: _encode(it, model_path), "doc_id long, ids array<int>")
+    return map_batches(picked, lambda it: _encode(it, model_path), "doc_id long, ids array<int>", ("pieces", model_path))
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -182,7 +183,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); null or no ids give the empty text."""
-    return map_batches(encoded.select("doc_id", "ids"), lambda it: _decode(it, model_path), "doc_id long, text string")
+    return map_batches(encoded.select("doc_id", "ids"), lambda it: _decode(it, model_path), "doc_id long, text string", ("pieces", model_path))
 
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -203,4 +204,4 @@ def round_trip_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id",
     """Encode and decode in one pass, keeping digests of both instead of the
     lists of ids, so nothing large leaves the worker.  Rows as in ``encode``."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
-    return map_batches(picked, lambda it: _digests(it, model_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(picked, lambda it: _digests(it, model_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", ("pieces", model_path))

@@ -13,6 +13,7 @@ The table only saves time: a count never depends on what is in it.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import map_batches, text_column
+from .common import map_batches, text_column, worker_state
 
 #: A blank belongs to the word after it; other white space stands alone; a word
 #: before a stop is cut off.  Each boundary of this cut is a boundary between
@@ -32,8 +33,6 @@ TASK_ENTRIES = 1 << 12
 #: A task's counter is cut back to its heavier half beyond this many chunks.
 COUNTER_ENTRIES = 1 << 17
 
-_workers: dict = {}
-
 
 def _frequent_of_task(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
@@ -53,21 +52,17 @@ def frequent_chunks(texts: DataFrame, table_entries: int = TABLE_ENTRIES, task_e
     return [r["chunk"] for r in rows]
 
 
-def _counter(path: str, table) -> tuple:
-    key = (path, table.id if hasattr(table, "id") else id(table))
-    if key not in _workers:
-        tok = chunks.load_tokenizer(path)
+def _build(path: str, table) -> tuple:
+    tok = chunks.load_tokenizer(path)
 
-        def encode(xs: list[str]) -> list[int]:
-            return [len(e) for e in tok.encode_batch_fast(xs, add_special_tokens=False)]
+    def encode(xs: list[str]) -> list[int]:
+        return [len(e) for e in tok.encode_batch_fast(xs, add_special_tokens=False)]
 
-        _workers.clear()
-        _workers[key] = (tok, chunks.special_strings(tok), chunks.ChunkCache(encode, table.value))
-    return _workers[key]
+    return tok, chunks.special_strings(tok), chunks.ChunkCache(encode, table.value)
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str, table) -> Iterator[pa.RecordBatch]:
-    tok, special, cache = _counter(path, table)
+def _count(batches: Iterator[pa.RecordBatch], path: str, table, key: tuple) -> Iterator[pa.RecordBatch]:
+    tok, special, cache = worker_state(key, lambda: _build(path, table))
     for b in batches:
         counts, sizes = [], []
         for text in b.column("text").to_pylist():
@@ -92,4 +87,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     tok = chunks.load_tokenizer(tokenizer_path)
     lengths = [len(e) for e in tok.encode_batch_fast(names, add_special_tokens=False)] if names else []
     table = spark.sparkContext.broadcast(dict(zip(names, lengths, strict=True)))
-    return map_batches(picked, lambda it: _count(it, tokenizer_path, table), "doc_id long, n_bytes long, n_tokens long")
+    key = ("token_counts", tokenizer_path, uuid.uuid4().hex)
+    return map_batches(picked, lambda it: _count(it, tokenizer_path, table, key), "doc_id long, n_bytes long, n_tokens long", key)
