@@ -7,11 +7,11 @@ windows of one table, so all coordinates are one minimum over windows.
 
 Texts with equal shingle sets form a class, and one of each class goes on.
 Classes that share a band meet the band's first class, its leader; a link is
-confirmed on the full shingle sets.  What a leader leaves in different components
-is then compared pair by pair within the band, after two exact filters: set
-sizes, and the triangle inequality of Jaccard distances to the leader.  In a
-large group of near copies the leader links nearly all, and the distances of the
-rest to it exclude nearly all remaining pairs.
+confirmed on the full shingle sets.  What is left around a leader in different
+components meets a second leader, the member nearest to the group's core, and the
+pairs still left are compared only where core and sizes, or what they share outside
+the core, allow a link.  These filters are exact, so a large group of near copies
+costs a comparison or two a member.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -32,6 +32,7 @@ from .graph import components
 BANDS, ROWS = 56, 8
 UNIVERSE_BITS = 20
 BITMAP_BITS = 25
+CORE_MEMBERS = 64
 _PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
 _windows: dict[int, np.ndarray] = {}
 
@@ -145,6 +146,54 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).cast("long").alias("sum")).select("a", "b", "common", (F.col("sum") - F.col("common")).alias("total"))
 
 
+def _measured(around: DataFrame, sets: DataFrame) -> DataFrame:
+    """``around`` (group, rep, n, label) with held, the shingles shared with the group's
+    core, core_size, and extra, those outside it.
+
+    The core is what most of CORE_MEMBERS members of the group's own component have.
+    Any set would do, as it only serves to bound intersections; this one leaves few
+    shingles outside.
+    """
+    around = materialize(around, "minhash-around")
+    pick = Window.partitionBy("group").orderBy(F.xxhash64("rep"), "rep")
+    chosen = around.filter("label = group").withColumn("k", F.row_number().over(pick)).filter(f"k <= {CORE_MEMBERS}").select("group", "rep")
+    size = chosen.groupBy("group").agg(F.count("*").alias("size"))
+    votes = chosen.join(sets, "rep").select("group", F.explode("shingles").alias("shingle")).groupBy("group", "shingle").agg(F.count("*").alias("votes"))
+    core = votes.join(size, "group").filter("2 * votes > size").groupBy("group").agg(F.collect_list("shingle").alias("core"))
+    both = around.join(sets, "rep").join(core, "group")
+    return materialize(both.select("group", "rep", "n", "label", F.size(F.array_intersect("shingles", "core")).cast("long").alias("held"), F.size("core").alias("core_size"), F.array_except("shingles", "core").alias("extra")), "minhash-measured")
+
+
+def _possible(measured: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components of a group that may be linked.
+
+    Two sets share at most the lesser of both held counts plus what they share
+    outside the core.  So a pair is either close enough by held counts and sizes
+    alone, or has shingles outside the core in common: of each set at least
+    ceil(percent * n / 100) - held, so one of them is among the set's rarest, all but
+    that number less one (prefix filter).  No link is lost.
+    """
+    live = measured.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("group")
+    live = measured.join(live, "group", "left_semi")
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("held"))
+    spread = live.select("group", "rep", "n", "label", "held", (F.size("extra") - need + 1).alias("prefix"), F.explode("extra").alias("shingle")).filter("prefix > 0")
+    shared = spread.groupBy("group", "shingle").agg(F.count("*").alias("f"), F.min("label").alias("x"), F.max("label").alias("y"))
+    rare = Window.partitionBy("group", "rep").orderBy("f", "shingle")
+    first = spread.join(shared, ["group", "shingle"]).withColumn("place", F.row_number().over(rare)).filter("place <= prefix and x < y")
+    first = materialize(first.select("group", "shingle", "rep", "n", "label"), "minhash-prefix")
+
+    def differ(x: str, y: str):
+        sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
+        return (F.col(f"{x}.group") == F.col(f"{y}.group")) & (F.col(f"{x}.rep") < F.col(f"{y}.rep")) & (F.col(f"{x}.label") != F.col(f"{y}.label")) & sizes
+
+    outside = first.alias("x").join(first.alias("y"), differ("x", "y") & (F.col("x.shingle") == F.col("y.shingle")))
+    bare = live.select("group", "rep", "n", "label", "held")
+    enough = (100 + percent) * F.least("x.held", "y.held") >= percent * (F.col("x.n") + F.col("y.n"))
+    inside = bare.alias("x").join(bare.alias("y"), differ("x", "y") & enough)
+    pair = (F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    return outside.select(*pair).union(inside.select(*pair)).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row.
 
@@ -166,30 +215,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     members = materialize(classes.select(F.explode("bands").alias("band"), "rep", "n", "digest").join(leaders, "band"), "minhash-members")
     sets = _candidate_sets(texts, members.select("rep", "digest").distinct(), width)
 
-    met = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    star = materialize(_confirm(met, sets), "minhash-star")
     linked = f"100 * common >= {percent} * total"
-    labels = components(star.filter(linked).select("a", "b"))
-
-    # What a band still holds in different components, with distances to its leader.
-    distance = F.when(F.col("rep") == F.col("leader"), F.lit(0.0)).otherwise(1 - F.col("common") / F.col("total"))
-    seen = star.select(F.col("a").alias("leader"), F.col("b").alias("rep"), "common", "total")
-    placed = members.select("band", "rep", "n", "leader").join(seen, ["leader", "rep"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = materialize(placed.select("band", "rep", "n", F.coalesce("label", "rep").alias("label"), distance.alias("far"), (F.col("rep") == F.col("leader")).alias("leads")), "minhash-placed")
-    mixed = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("band")
-    left = placed.join(mixed, "band", "left_semi").filter("not leads").select("band", "rep", "n", "label", "far")
-    x, y = left.alias("x"), left.alias("y")
-    near = (
-        (F.col("x.band") == F.col("y.band"))
-        & (F.col("x.rep") < F.col("y.rep"))
-        & (F.col("x.label") != F.col("y.label"))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9)
-    )
-    rest = x.join(y, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    rest = materialize(_confirm(rest, sets).filter(linked).select("a", "b"), "minhash-rest")
+    met = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    links = materialize(_confirm(met, sets).filter(linked).select("a", "b"), "minhash-star")
+    labels = components(links)
+
+    # Groups: what shares a band with a leader, by the leader's component, where more
+    # components than one are left.
+    named = labels.withColumnRenamed("node", "rep")
+    whole = labels.withColumnsRenamed({"node": "leader", "label": "group"})
+    around = members.select("leader", "rep", "n").distinct().join(named, "rep", "left").join(whole, "leader", "left")
+    around = around.select(F.coalesce("group", "leader").alias("group"), "rep", "n", F.coalesce("label", "rep").alias("label")).distinct()
+    mixed = around.filter("label <> group").select("group").distinct()
+    measured = _measured(around.join(mixed, "group", "left_semi"), sets)
+    # The member nearest to the group's core is its second leader.
+    near = F.col("held") / (F.col("n") + F.col("core_size") - F.col("held"))
+    middle = measured.filter("label = group").groupBy("group").agg(F.max_by("rep", F.struct(near.alias("near"), (-F.col("rep")).alias("r"))).alias("middle"))
+    again = measured.filter("label <> group").join(middle, "group").select(F.least("middle", "rep").alias("a"), F.greatest("middle", "rep").alias("b")).distinct()
+    more = materialize(_confirm(again, sets).filter(linked).select("a", "b"), "minhash-again")
+    if not more.isEmpty():
+        links = links.union(more)
+        labels = components(links)
+    fresh = measured.drop("label").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    rest = materialize(_confirm(_possible(fresh, percent), sets).filter(linked).select("a", "b"), "minhash-rest")
     if not rest.isEmpty():
-        labels = components(star.filter(linked).select("a", "b").union(rest))
+        labels = components(links.union(rest))
 
     named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
     out = signed.select("doc_id", "n", "digest").join(named, "digest", "left")
