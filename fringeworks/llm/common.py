@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -92,9 +95,29 @@ def _release(key: tuple | None) -> None:
             pass
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, unless they find it by PYTHONPATH or in the
+    working directory, as the driver does."""
+    root = Path(__file__).resolve().parents[2]
+    paths = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    if root in paths or spark.sparkContext.applicationId in _shipped:
+        return
+    _shipped.add(spark.sparkContext.applicationId)
+    folder = tempfile.mkdtemp(prefix="fringeworks-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/fringeworks.zip", "w") as out:
+        for f in sorted((root / "fringeworks").rglob("*.py")):
+            out.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(f"{folder}/fringeworks.zip")
+
+
+_shipped: set[str] = set()
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, state: tuple | None = None) -> DataFrame:
     """``fn`` over Arrow batches; ``state`` is the key of the worker state it uses."""
     arrow_limits(df.sparkSession)
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _release(state)

@@ -110,7 +110,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for b in batches:
         langs, rows = [], []
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-            raw = text.encode()
+            raw = text.lower().encode()
             at = (len(raw) - WINDOW) // 2
             for part in (raw, raw[max(at, 0) : max(at, 0) + WINDOW]):
                 langs.append(lang)
@@ -148,7 +148,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
             x = np.zeros((len(part), DIMS), dtype=np.float32)
             for j, t in enumerate(part):
                 if known[j]:
-                    x[j] = grams(t.encode())
+                    x[j] = grams(t.lower().encode())
             p = m.posterior(x) if m.langs else np.zeros((len(part), 1))
             best = p.argmax(axis=1)
             top = np.sort(p, axis=1)

@@ -34,9 +34,10 @@ _STRIP[:128] = True
 _STRIP[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
-def slots(raw: bytes) -> tuple[np.ndarray, int]:
-    """Hashed feature numbers, one per occurrence, and the number of words."""
-    h, kind, n = textvec.prefix_hashes(np.frombuffer(raw, dtype=np.uint8), LENGTHS, _STRIP)
+def slots(text: str) -> tuple[np.ndarray, int]:
+    """Hashed feature numbers, one per occurrence, and the number of words; case is
+    folded."""
+    h, kind, n = textvec.prefix_hashes(np.frombuffer(text.lower().encode(), dtype=np.uint8), LENGTHS, _STRIP)
     h = textvec.mix(h + (kind.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     return (h >> np.uint64(64 - HASH_BITS)).astype(np.int64), n
 
@@ -53,10 +54,11 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.theta[None, :] - score[:, None], -60, 60)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, steps: int = 400, ridge: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, steps: int = 400, ridge: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by Adam on the cumulative-link likelihood.
     The gaps between thresholds are exponentials, so their order holds."""
     n, k = x.shape[1], int(GRADES)
+    ridge = 0.03 / len(x) if ridge is None else ridge
     params = np.zeros(n + k)
     params[n] = 1.0
     m, v = np.zeros_like(params), np.zeros_like(params)
@@ -90,7 +92,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         toxic = b.column("toxic").to_numpy(zero_copy_only=False)
-        found = [np.unique(slots(t.encode())[0]) for t in b.column("text").to_pylist()]
+        found = [np.unique(slots(t)[0]) for t in b.column("text").to_pylist()]
         for want in (0, 1):
             mine = [f for f, y in zip(found, toxic, strict=True) if y == want]
             if mine:
@@ -104,7 +106,7 @@ def _densities(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterato
     for b in batches:
         xs = []
         for t in b.column("text").to_pylist():
-            s, n = slots(t.encode())
+            s, n = slots(t)
             at = np.minimum(np.searchsorted(wanted, s), len(wanted) - 1)
             hit = at[wanted[at] == s]
             x = np.bincount(hit, minlength=len(wanted)) * (PER_WORDS / max(n, PER_WORDS))
@@ -154,7 +156,7 @@ def _grade(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     for b in batches:
         scores = []
         for t in row_texts(b):
-            s, n = slots((t or "").encode())
+            s, n = slots(t or "")
             scores.append(float(table[s].sum(dtype=np.float64)) * PER_WORDS / max(n, PER_WORDS))
         if model is None:
             above = np.zeros((len(scores), GRADES))
