@@ -75,6 +75,15 @@ def arrow_limits(spark: SparkSession) -> None:
 _state: dict = {}
 
 
+def trim() -> None:
+    """Give freed memory back to the machine."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def worker_state(key: tuple, build: Callable):
     """What a worker keeps from task to task (a model, a cache): one thing at a time."""
     if key not in _state:
@@ -88,11 +97,7 @@ def _release(key: tuple | None) -> None:
     back to the machine first."""
     if _state and key not in _state:
         _state.clear()
-        gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        trim()
 
 
 def ship(spark: SparkSession) -> None:

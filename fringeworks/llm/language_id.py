@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, pack_row, row_texts, unpack_row
+from .common import map_batches, pack_row, row_texts, trim, unpack_row
 
 TRIGRAM_BITS = 12
 DIMS = 256 + (1 << TRIGRAM_BITS)
 #: Bound on the rows that the classifiers are fitted on, all languages together.
-SAMPLE_ROWS = 2400
+SAMPLE_ROWS = 1600
 WINDOW = 60
 #: Margins of posterior probability below this are flagged.
 AMBIGUOUS = 0.05
@@ -133,8 +133,15 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     langs = sorted({r["lang"] for r in got})
     if not langs:
         return LanguageModel()
-    x = np.stack([np.frombuffer(r["x"], dtype=np.float16).astype(np.float32) for r in got])
-    return fit_codes(x, np.array([langs.index(r["lang"]) for r in got]), langs)
+    x = np.empty((len(got), DIMS), dtype=np.float32)
+    for row, r in zip(x, got, strict=True):
+        row[:] = np.frombuffer(r["x"], dtype=np.float16)
+    y = np.array([langs.index(r["lang"]) for r in got])
+    del got
+    model = fit_codes(x, y, langs)
+    del x
+    trim()
+    return model
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

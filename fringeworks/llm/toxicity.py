@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import map_batches, materialize, pack_row, row_texts, unpack_row
+from .common import map_batches, materialize, pack_row, row_texts, trim, unpack_row
 
 #: Lengths in bytes of word beginnings; 0 is the whole word.
 LENGTHS = (0, 4, 5, 6, 7, 8, 10)
 HASH_BITS = 22
-FEATURES = 4096
+FEATURES = 3072
 #: Bounds on the labelled rows that the model is fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 GRADES = 3
@@ -138,13 +138,18 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, cl
     wanted = np.array([r["slot"] for r in best])
     odds = np.log((np.array([r["p"] for r in best]) + 0.01) / (np.array([r["q"] for r in best]) + 0.01))
     got = map_batches(sample.select("toxic", "text"), lambda it: _densities(it, wanted), "toxic int, x binary").collect()
-    x = np.stack([np.frombuffer(r["x"], dtype=np.float16).astype(np.float32) for r in got])
+    x = np.empty((len(got), len(wanted)), dtype=np.float32)
+    for row, r in zip(x, got, strict=True):
+        row[:] = np.frombuffer(r["x"], dtype=np.float16)
     toxic = np.array([r["toxic"] for r in got])
+    del got
     lexical = x @ np.where(odds > 1.0, odds, 0).astype(np.float32)
     cuts = np.quantile(lexical[toxic == 1], [i / GRADES for i in range(1, GRADES)])
     grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, lexical, side="right"), 0)
     weight = np.where(toxic == 1, counts[1] / n[1], counts[0] / n[0])
     w, theta = fit_ordinal(x, grade, weight)
+    del x
+    trim()
     return OrdinalModel(wanted, w, theta)
 
 
