@@ -17,33 +17,43 @@ from fringeworks.llm import language_id, minhash, packing, pii, toxicity
 from fringeworks.llm.common import materialize
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """(doc, text): the whole row as one struct, so that no column of documents, however
+    named, meets a column that an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and texts between two languages, go."""
     model = language_id.train(docs.filter(~language_id.held_out()))
-    found = language_id.identify(docs, model, keep=tuple(docs.columns))
-    # Without any labelled row there is no language to tell, and all stays.
-    return (found.filter((F.col("lang_pred") != "und") & ~F.col("ambiguous")) if model.langs else found).select(*docs.columns)
+    if not model.langs:  # no labelled row, so no language to tell
+        return docs
+    found = language_id.identify(_wrapped(docs), model, keep=("doc",))
+    return found.filter((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select("doc.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts more likely toxic than not go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.grade(docs, model, keep=tuple(docs.columns)).filter(~F.col("toxic")).select(*docs.columns)
+    return toxicity.grade(_wrapped(docs), model, keep=("doc",)).filter(~F.col("toxic")).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word shingles, similarity 0.8 or
     more) the document with the smallest id stays."""
     gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities get keyed surrogates; n_chars follows the new text."""
-    new = pii.pseudonymize(docs)
+    count = "n_entities"
+    while count.lower() in {c.lower() for c in docs.columns}:
+        count += "_"
+    new = pii.pseudonymize(docs, count_col=count)
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return new.select(*docs.columns)
+        new = new.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return new.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

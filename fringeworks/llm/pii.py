@@ -180,9 +180,9 @@ def redrawn(found: DataFrame, key: str) -> DataFrame | None:
     return None if again.isEmpty() else again
 
 
-def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
-    """``docs`` with the entities of ``text_col`` replaced, and n_entities appended
-    (a column of that name in ``docs`` is replaced).
+def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
+    """``docs`` with the entities of ``text_col`` replaced, and their number appended
+    as ``count_col`` (a column of that name in ``docs`` is replaced).
 
     Kinds: e-mail addresses, phone numbers, card and account numbers of 13 to 19
     digits, IPv4 addresses, US social security numbers, hexadecimal secrets, and
@@ -190,23 +190,32 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     with 0 entities; texts without entities are unchanged to the character.
     Repeated rows get the same text; an empty table an empty result.
     """
-    plain = docs.drop("n_entities")
-    names = plain.columns
-    found = entities(plain.select(F.col(f"`{text_col}`").alias("text"))).select(F.explode("_found").alias("v"))
+    # Other columns travel in a struct by position, so their names clash with none here.
+    names = [c for c in docs.columns if c.lower() != count_col.lower()]
+    other = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text_col])
+    plain = docs.select(other.alias("row"), F.col(f"`{text_col}`").alias("text"))
+    written = _replaced(plain, key)
+    columns = [F.col("text" if c == text_col else f"row.c{i}").alias(c) for i, c in enumerate(names)]
+    return written.select(*columns, F.col("n_entities").alias(count_col))
+
+
+def _replaced(plain: DataFrame, key: str) -> DataFrame:
+    """(row, text, n_entities) from (row, text)."""
+    found = entities(plain.select("text")).select(F.explode("_found").alias("v"))
     parts = found.select(F.explode(F.expr(_parts("v"))).alias("p")).select("p.kind", "p.value")
     again = redrawn(parts, key)
-    marked = entities(plain, text_col)
+    marked = entities(plain)
     if again is None:
-        return _written(marked, text_col, names, key, "0")
+        return _written(marked, key, "0")
     # Only rows that may hold a value drawn again are looked up; the map has a fixed
     # size, and where it fills up more rows take the way of the lookup.
     maybe = _maybe(again)
-    calm = _written(marked.filter(~maybe), text_col, names, key, "0")
+    calm = _written(marked.filter(~maybe), key, "0")
     rows = materialize(marked.filter(maybe).withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
     held = rows.select("_row", F.explode("_found").alias("v")).select("_row", F.explode(F.expr(_parts("v"))).alias("p")).select("_row", "p.kind", "p.value").distinct()
     wanted = held.join(again, ["kind", "value"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("_again"))
     lookup = "coalesce(element_at(_again, concat_ws('|', p.kind, p.value)), 0)"
-    return calm.unionByName(_written(rows.join(wanted, "_row", "left"), text_col, names, key, lookup))
+    return calm.unionByName(_written(rows.join(wanted, "_row", "left"), key, lookup))
 
 
 def _slot(kind: str, value: str) -> str:
@@ -222,12 +231,11 @@ def _maybe(again: DataFrame):
     return F.expr(f"exists(_found, v -> exists({_parts('v')}, p -> {bit}))")
 
 
-def _written(marked: DataFrame, text_col: str, names: list[str], key: str, attempt: str) -> DataFrame:
-    """The columns ``names`` with the entities in _found replaced, and n_entities."""
+def _written(marked: DataFrame, key: str, attempt: str) -> DataFrame:
+    """(row, text, n_entities) with the entities in _found replaced."""
     piece = f"concat(p.lead, {surrogate('p.kind', 'p.value', attempt, key)})"
     whole = f"transform(_found, v -> array_join(transform({_parts('v')}, p -> {piece}), ''))"
-    between = _hits(text_col, lambda p: F.split(F.col(f"`{text_col}`"), p, -1))
+    between = _hits("text", lambda p: F.split("text", p, -1))
     woven = F.array_join(F.flatten(F.zip_with(between, F.concat(F.expr(whole), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    new = F.when(F.size("_found") > 0, woven).otherwise(F.col(f"`{text_col}`"))
-    count = F.greatest(F.size("_found"), F.lit(0)).cast("long")
-    return marked.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], count.alias("n_entities"))
+    new = F.when(F.size("_found") > 0, woven).otherwise(F.col("text"))
+    return marked.select("row", new.alias("text"), F.greatest(F.size("_found"), F.lit(0)).cast("long").alias("n_entities"))
