@@ -169,17 +169,21 @@ def _possible(measured: DataFrame, percent: int) -> DataFrame:
 
     Two sets share at most the lesser of both held counts plus what they share
     outside the core.  So a pair is either close enough by held counts and sizes
-    alone, or has shingles outside the core in common: of each set at least
-    ceil(percent * n / 100) - held, so one of them is among the set's rarest, all but
+    alone, or has shingles outside the core in common.  Only those that other
+    components have too can be, and with the least size among these sets follows how
+    many of them a set must share; one of these is then among its rarest, all but
     that number less one (prefix filter).  No link is lost.
     """
     live = measured.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("group")
     live = measured.join(live, "group", "left_semi")
-    need = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("held"))
-    spread = live.select("group", "rep", "n", "label", "held", (F.size("extra") - need + 1).alias("prefix"), F.explode("extra").alias("shingle")).filter("prefix > 0")
-    shared = spread.groupBy("group", "shingle").agg(F.count("*").alias("f"), F.min("label").alias("x"), F.max("label").alias("y"))
-    rare = Window.partitionBy("group", "rep").orderBy("f", "shingle")
-    first = spread.join(shared, ["group", "shingle"]).withColumn("place", F.row_number().over(rare)).filter("place <= prefix and x < y")
+    spread = live.select("group", "rep", "n", "label", "held", F.explode("extra").alias("shingle"))
+    shared = spread.groupBy("group", "shingle").agg(F.count("*").alias("f"), F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("low")).filter("x < y")
+    each = Window.partitionBy("group", "rep")
+    able = spread.join(shared.select("group", "shingle", "f", "low"), ["group", "shingle"])
+    able = able.withColumns({"able": F.count("*").over(each), "low": F.min("low").over(each), "place": F.row_number().over(each.orderBy("f", "shingle"))})
+    smallest = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    need = F.greatest(F.lit(1), F.ceil((F.col("n") + smallest) * percent / (100 + percent)) - F.col("held"))
+    first = able.filter(F.col("place") <= F.col("able") - need + 1)
     first = materialize(first.select("group", "shingle", "rep", "n", "label"), "minhash-prefix")
 
     def differ(x: str, y: str):
