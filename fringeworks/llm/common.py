@@ -75,9 +75,11 @@ def arrow_limits(spark: SparkSession) -> None:
 _state: dict = {}
 
 
-def trim() -> None:
+def trim(collect: bool = True) -> None:
     """Give freed memory back to the machine."""
-    gc.collect()
+    if collect:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -126,7 +128,8 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _release(state)
-        return fn(batches)
+        yield from fn(batches)
+        trim(collect=False)  # the worker may stay idle from here on
 
     return df.mapInArrow(run, schema)
 

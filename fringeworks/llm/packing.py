@@ -30,7 +30,9 @@ from .common import map_batches, materialize, text_column, worker_state
 
 BUCKETS, DIMS, BITS = 256, 4, 10
 LENGTH = 4096
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 600_000
+#: Texts cut into chunks at a time.
+GROUP = 256
 #: Pre-tokens of Latin-1 text without apostrophes, for which folding case by
 #: character is what the tokenizer does.
 CUT = re.compile(r"[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
@@ -147,9 +149,13 @@ class IdEncoder:
         return CUT.findall(text.lower()) if latin(text) else text.split()
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(t) for t in texts]
-        values = self.cache.many([p or [] for p in parts])
-        return [b"".join(v) if p is not None else self.each([t])[0] for t, p, v in zip(texts, parts, values, strict=True)]
+        out: list[bytes] = []
+        for i in range(0, len(texts), GROUP):
+            group = texts[i : i + GROUP]
+            parts = [self.split(t) for t in group]
+            values = self.cache.many([p or [] for p in parts])
+            out += [b"".join(v) if p is not None else self.each([t])[0] for t, p, v in zip(group, parts, values, strict=True)]
+        return out
 
 
 def _encoder(path: str) -> IdEncoder:
