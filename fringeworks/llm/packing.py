@@ -16,7 +16,6 @@ The ids cross the network once.  No window or task sees more than its range.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +26,14 @@ from pyspark.sql import functions as F
 
 from . import chunks, textvec
 from .common import map_batches, materialize, text_column, worker_state
+from .wordtable import WordTable
 
 BUCKETS, DIMS, BITS = 256, 4, 10
 LENGTH = 4096
-CACHE_ENTRIES = 600_000
-#: Texts cut into chunks at a time.
+#: Bounds of a worker's table of pre-tokens and of its cache of other chunks.
+TABLE_ENTRIES, CACHE_ENTRIES = 1_200_000, 200_000
+#: Texts encoded at a time.
 GROUP = 256
-#: Pre-tokens of Latin-1 text without apostrophes, for which folding case by
-#: character is what the tokenizer does.
-CUT = re.compile(r"[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
 
 
 def hilbert(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -115,13 +113,17 @@ class IdEncoder:
         self.ends = np.zeros(self.tok.get_vocab_size(), dtype=bool)
         for piece, i in self.tok.get_vocab(with_added_tokens=False).items():
             self.ends[i] = piece.endswith("</w>")
-        self.cache = chunks.ChunkCache(self.encode, entries=CACHE_ENTRIES)
+        self.table = WordTable(self.encode_words, self.kind, entries=TABLE_ENTRIES)
+        self.cache = chunks.ChunkCache(self.each, entries=CACHE_ENTRIES)
 
     def each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Pre-tokens go to the library as one text; the ids are parted at word ends."""
+        """Pre-tokens go to the library as one text; the ids are parted at word ends.
+        For Latin-1 text without apostrophes folding case by character is what the
+        tokenizer does, and each run of letters, each numeral and each run of other
+        characters is one pre-token."""
         out: list[bytes] = []
         for i in range(0, len(words), 1000):
             part = words[i : i + 1000]
@@ -134,27 +136,24 @@ class IdEncoder:
                 out += self.each(part)
         return out
 
-    def encode(self, names: list[str]) -> list[bytes]:
-        """Pre-tokens of Latin-1 texts together, other chunks one by one."""
-        words = [c for c in names if CUT.fullmatch(c)]
-        rest = [c for c in names if not CUT.fullmatch(c)]
-        out = dict(zip(words, self.encode_words(words), strict=True))
-        out.update(zip(rest, self.each(rest), strict=True))
-        return [out[c] for c in names]
-
-    def split(self, text: str) -> list[str] | None:
-        """Chunks, or None for a text that the library should see whole."""
-        if chunks.unsure(text) or (self.special and self.special.search(text)):
-            return None
-        return CUT.findall(text.lower()) if latin(text) else text.split()
-
     def texts(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+        """Texts of Latin-1 characters by the table, others by white-space chunks,
+        and those of which neither is certain by the library, whole."""
+        out: list[bytes] = [b""] * len(texts)
         for i in range(0, len(texts), GROUP):
-            group = texts[i : i + GROUP]
-            parts = [self.split(t) for t in group]
-            values = self.cache.many([p or [] for p in parts])
-            out += [b"".join(v) if p is not None else self.each([t])[0] for t, p, v in zip(group, parts, values, strict=True)]
+            plain, cut = [], []
+            for j in range(i, min(i + GROUP, len(texts))):
+                t = texts[j]
+                if chunks.unsure(t) or (self.special and self.special.search(t)):
+                    out[j] = self.each([t])[0]
+                elif latin(t):
+                    plain.append(j)
+                else:
+                    cut.append(j)
+            for j, x in zip(plain, self.table.ids([texts[j].lower().encode("latin-1") for j in plain]), strict=True):
+                out[j] = x
+            for j, v in zip(cut, self.cache.many([texts[j].split() for j in cut]), strict=True):
+                out[j] = b"".join(v)
         return out
 
 

@@ -120,3 +120,13 @@ def test_neighbours_on_the_curve():
     k = packing.curve_keys([a, a, a + "delta", b, ""])
     assert k[0] == k[1]
     assert (packing.curve_keys([]) == np.zeros(0)).all()
+
+
+def test_word_table_starts_anew():
+    """More words than the table takes, long runs, and numerals one by one."""
+    e = packing.IdEncoder(WORD)
+    e.table.entries = 50
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdé12½.,!- ") for _ in range(9)) for _ in range(30)) for _ in range(300)] + ["x" * 300_000, "1" * 5000, "." * 5000, "", " "]
+    want = [np.array(x.ids, np.uint16).tobytes() for x in e.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert e.texts(texts) == want and e.texts(texts[::-1]) == want[::-1]
