@@ -36,9 +36,17 @@ def cell_counts(samples: DataFrame) -> DataFrame:
 
 
 def cell_offsets(counts: DataFrame, by: tuple[str, ...] = ("spw_id", "corr")) -> DataFrame:
-    """Position of each cell's first sample when samples are in cell order."""
-    before = Window.partitionBy(*by).orderBy("cell_u", "cell_v").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint"))
+    """Position of each cell's first sample when samples are in cell order.
+
+    In two levels, so that no task sees more than one column of a grid or one row
+    per column: sums of the columns before, and sums within the column.
+    """
+    preceding = (Window.unboundedPreceding, -1)
+    sums = counts.groupBy(*by, "cell_u").agg(F.sum("n").alias("_n"))
+    base = sums.select(*by, "cell_u", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("cell_u").rowsBetween(*preceding)), F.lit(0)).alias("_base"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "cell_u").orderBy("cell_v").rowsBetween(*preceding)), F.lit(0))
+    placed = counts.withColumn("_within", within).join(base, [*by, "cell_u"])
+    return placed.withColumn("first", (F.col("_base") + F.col("_within")).cast("bigint")).select(*counts.columns, "first")
 
 
 def exact_stats(samples: DataFrame) -> DataFrame:
