@@ -8,7 +8,8 @@ import time
 import uuid
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from fringeworks.config import FlagConfig
 from fringeworks.functions.coords import grid_shape, half_size
@@ -82,21 +83,18 @@ class FlagRun:
 
 
 def replace_main(spark: SparkSession, path: str, merged: DataFrame) -> int:
-    """Write ``merged`` beside the main table, then swap the folders; returns the
-    number of flags set anew.  A failure before the swap leaves the table as it was."""
+    """Write ``merged`` beside the main table, counting new flags on the way, then swap
+    the folders.  A failure before the swap leaves the table as it was."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    new, old, main = (hadoop(f"{path}/{x}") for x in (f"main.new-{uuid.uuid4().hex}", f"main.old-{uuid.uuid4().hex}", "main.parquet"))
-    merged.write.parquet(new.toString())
-    count = flagging.newly_flagged(spark.read.parquet(new.toString())).first()[0]
+    tag = uuid.uuid4().hex
+    new, old, main = (hadoop(f"{path}/{x}") for x in (f"main.new-{tag}", f"main.old-{tag}", "main.parquet"))
+    seen = Observation(f"flags-{tag}")
+    merged.observe(seen, F.sum("n_new").alias("n")).drop("n_new").write.parquet(new.toString())
     fs = main.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    # The count column does not belong to the table.
-    clean = hadoop(f"{path}/main.clean-{uuid.uuid4().hex}")
-    spark.read.parquet(new.toString()).drop("n_new").write.parquet(clean.toString())
     fs.rename(main, old)
-    fs.rename(clean, main)
+    fs.rename(new, main)
     fs.delete(old, True)
-    fs.delete(new, True)
-    return int(count)
+    return int(seen.get["n"] or 0)
 
 
 def run(spark: SparkSession, source: str, config: FlagConfig, plot_dir: str | None = None, persist_cache: bool = False) -> dict:
