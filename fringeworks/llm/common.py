@@ -8,6 +8,7 @@ import gc
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -72,7 +73,10 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+#: A worker that has had no task for so long drops what it kept.
+IDLE_SECONDS = 6.0
 _state: dict = {}
+_busy: list = []
 
 
 def trim(collect: bool = True) -> None:
@@ -121,15 +125,28 @@ def ship(spark: SparkSession) -> None:
 _shipped: set[str] = set()
 
 
+def _rest() -> None:
+    if _state and not _busy:
+        _state.clear()
+        trim()
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, state: tuple | None = None) -> DataFrame:
     """``fn`` over Arrow batches; ``state`` is the key of the worker state it uses."""
     arrow_limits(df.sparkSession)
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _release(state)
-        yield from fn(batches)
-        trim(collect=False)  # the worker may stay idle from here on
+        _busy.append(state)
+        try:
+            _release(state)
+            yield from fn(batches)
+        finally:
+            _busy.pop()
+            trim(collect=False)
+            idle = threading.Timer(IDLE_SECONDS, _rest)
+            idle.daemon = True
+            idle.start()
 
     return df.mapInArrow(run, schema)
 
