@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, pack_row, row_texts, trim, unpack_row
 
-TRIGRAM_BITS = 12
+TRIGRAM_BITS = 11
 DIMS = 256 + (1 << TRIGRAM_BITS)
 #: Bound on the rows that the classifiers are fitted on, all languages together.
-SAMPLE_ROWS = 1600
+SAMPLE_ROWS = 1200
 WINDOW = 60
 #: Margins of posterior probability below this are flagged.
 AMBIGUOUS = 0.05
@@ -129,16 +129,14 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     each = sample_rows // len(counts)
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))])[F.col("lang")]
     drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).limit(sample_rows + sample_rows // 4)
-    got = map_batches(drawn, _sample_features, "lang string, x binary").collect()
-    langs = sorted({r["lang"] for r in got})
-    if not langs:
-        return LanguageModel()
-    x = np.empty((len(got), DIMS), dtype=np.float32)
-    for row, r in zip(x, got, strict=True):
-        row[:] = np.frombuffer(r["x"], dtype=np.float16)
-    y = np.array([langs.index(r["lang"]) for r in got])
-    del got
-    model = fit_codes(x, y, langs)
+    trim()
+    names: list[str] = []
+    x = np.empty((2 * (sample_rows + sample_rows // 4), DIMS), dtype=np.float32)
+    for r in map_batches(drawn, _sample_features, "lang string, x binary").toLocalIterator():
+        x[len(names)] = np.frombuffer(r["x"], dtype=np.float16)
+        names.append(r["lang"])
+    langs = sorted(set(names))
+    model = fit_codes(x[: len(names)], np.array([langs.index(n) for n in names]), langs) if names else LanguageModel()
     del x
     trim()
     return model

@@ -22,9 +22,9 @@ from .common import map_batches, materialize, pack_row, row_texts, trim, unpack_
 #: Lengths in bytes of word beginnings; 0 is the whole word.
 LENGTHS = (0, 4, 5, 6, 7, 8, 10)
 HASH_BITS = 22
-FEATURES = 3072
+FEATURES = 2048
 #: Bounds on the labelled rows that the model is fitted on.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2400
 GRADES = 3
 #: Densities are per this many words, and texts count as having this many at least.
 PER_WORDS = 30.0
@@ -137,12 +137,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, cl
     best = sorted(best, key=lambda r: r["slot"])
     wanted = np.array([r["slot"] for r in best])
     odds = np.log((np.array([r["p"] for r in best]) + 0.01) / (np.array([r["q"] for r in best]) + 0.01))
-    got = map_batches(sample.select("toxic", "text"), lambda it: _densities(it, wanted), "toxic int, x binary").collect()
-    x = np.empty((len(got), len(wanted)), dtype=np.float32)
-    for row, r in zip(x, got, strict=True):
-        row[:] = np.frombuffer(r["x"], dtype=np.float16)
-    toxic = np.array([r["toxic"] for r in got])
-    del got
+    trim()
+    x, known_toxic = np.empty((n[0] + n[1], len(wanted)), dtype=np.float32), []
+    for r in map_batches(sample.select("toxic", "text"), lambda it: _densities(it, wanted), "toxic int, x binary").toLocalIterator():
+        x[len(known_toxic)] = np.frombuffer(r["x"], dtype=np.float16)
+        known_toxic.append(r["toxic"])
+    toxic = np.array(known_toxic)
     lexical = x @ np.where(odds > 1.0, odds, 0).astype(np.float32)
     cuts = np.quantile(lexical[toxic == 1], [i / GRADES for i in range(1, GRADES)])
     grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, lexical, side="right"), 0)
