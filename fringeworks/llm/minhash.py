@@ -152,7 +152,8 @@ def _measured(around: DataFrame, sets: DataFrame) -> DataFrame:
 
     The core is what most of CORE_MEMBERS members of the group's own component have.
     Any set would do, as it only serves to bound intersections; this one leaves few
-    shingles outside.
+    shingles outside.  In a wide component no shingle may have a majority: the core
+    is empty then, and all shingles are outside it.
     """
     around = materialize(around, "minhash-around")
     pick = Window.partitionBy("group").orderBy(F.xxhash64("rep"), "rep")
@@ -160,7 +161,7 @@ def _measured(around: DataFrame, sets: DataFrame) -> DataFrame:
     size = chosen.groupBy("group").agg(F.count("*").alias("size"))
     votes = chosen.join(sets, "rep").select("group", F.explode("shingles").alias("shingle")).groupBy("group", "shingle").agg(F.count("*").alias("votes"))
     core = votes.join(size, "group").filter("2 * votes > size").groupBy("group").agg(F.collect_list("shingle").alias("core"))
-    both = around.join(sets, "rep").join(core, "group")
+    both = around.join(sets, "rep").join(core, "group", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
     return materialize(both.select("group", "rep", "n", "label", F.size(F.array_intersect("shingles", "core")).cast("long").alias("held"), F.size("core").alias("core_size"), F.array_except("shingles", "core").alias("extra")), "minhash-measured")
 
 

@@ -126,6 +126,28 @@ def test_near_duplicates(spark, width):
     assert got == want
 
 
+def test_near_duplicates_of_a_wide_component(spark):
+    """Three clouds joined by gradual versions: no shingle has a majority, so the
+    group's core is empty, and the members are linked with their base only."""
+    fresh = (f"x{i}" for i in range(10_000))
+    take = lambda n: [next(fresh) for _ in range(n)]
+    bases = [take(60) for _ in range(3)]
+    chain = [b[:k] + a[k:] for a, b in zip(bases, bases[1:], strict=False) for k in range(3, 60, 3)]
+    rng = np.random.default_rng(2)
+    clouds = []
+    for b in bases * 60:
+        t = list(b)
+        for at in rng.choice(60, 5, replace=False):
+            t[at] = next(fresh)
+        clouds.append(t)
+    texts = dict(enumerate([" ".join(t) for t in [*chain, *clouds, *bases]], 1))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, width=1).collect()}
+    want = brute_components(texts, 1)
+    assert {c for _, c in want.values()} == {1}
+    assert got == want
+
+
 def test_near_duplicates_edges(edge, spark):
     rows = minhash.near_duplicates(edge, width=2).collect()
     got = defaultdict(list)
