@@ -40,7 +40,7 @@ _CYRL = r"[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?"
 _any = lambda *keys: "|".join(x for k in keys for x in k)
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])"
-SECRET = r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64}+(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\d])|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
@@ -79,7 +79,7 @@ def _array(xs: list[str]) -> str:
 
 def _kind(v: str) -> str:
     return f"""case when instr({v}, '@') > 0 then 'email'
-      when {v} rlike '^[0-9a-f]+$' and {v} rlike '[a-f]' then 'secret'
+      when {v} rlike '^[0-9A-Fa-f]{{32,}}$' and {v} rlike '[A-Fa-f]' then 'secret'
       when {v} rlike '^\\\\d+[.]\\\\d+[.]\\\\d+[.]\\\\d+$' then 'ip'
       when {v} rlike '^[+(]' or {v} rlike '^\\\\d{{3}}[.-]\\\\d{{3}}[.-]\\\\d{{4}}$' then 'phone'
       when {v} rlike '^\\\\d{{3}}-\\\\d{{2}}-\\\\d{{4}}$' then 'ssn'
@@ -125,7 +125,10 @@ def surrogate(kind: str, value: str, attempt: str, key: str) -> str:
         long = f"cast(conv(substring({h}, (i % 29) * 2 + 1, 6), 16, 10) as int) + 7919 * cast(floor(i / 29) as int)"
         digit = f"chr((ascii(c) - 48 + {long}) % 10 + 48)"
         if hex_only:
-            return f"array_join(transform(split({text}, ''), (c, i) -> substring('0123456789abcdef', (instr('0123456789abcdef', c) - 1 + {long}) % 16 + 1, 1)), '')"
+            # A letter keeps its place's case; without small letters the whole is in capitals.
+            new = f"substring('0123456789abcdef', (instr('0123456789abcdef', lower(c)) - 1 + {long}) % 16 + 1, 1)"
+            turned = f"array_join(transform(split({text}, ''), (c, i) -> if(c rlike '[A-F]', upper({new}), {new})), '')"
+            return f"element_at(transform(array({turned}), s -> if({text} rlike '[a-f]', s, upper(s))), 1)"
         lower, upper = (f"chr((ascii(c) - {a} + {long}) % 26 + {a})" for a in (97, 65))
         return f"array_join(transform(split({text}, ''), (c, i) -> case when c rlike '[0-9]' then {digit} when c rlike '[a-z]' then {lower} when c rlike '[A-Z]' then {upper} else c end), '')"
 
@@ -185,8 +188,8 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     as ``count_col`` (a column of that name in ``docs`` is replaced).
 
     Kinds: e-mail addresses, phone numbers, card and account numbers of 13 to 19
-    digits, IPv4 addresses, US social security numbers, hexadecimal secrets, and
-    names after a form of address or a known given name.  Null text stays null
+    digits, IPv4 addresses, US social security numbers, hexadecimal secrets of 32
+    digits or more in either case, and names after a form of address or a known given name.  Null text stays null
     with 0 entities; texts without entities are unchanged to the character.
     Repeated rows get the same text; an empty table an empty result.
     """

@@ -358,6 +358,21 @@ def test_surrogates(spark):
     assert other[1] != got[1].text
 
 
+def test_surrogates_of_secrets_in_capitals_and_long_ones(spark):
+    """Hexadecimal secrets are found in either case and beyond 64 digits."""
+    low = hashlib.sha1(b"a").hexdigest()
+    long = hashlib.sha512(b"b").hexdigest()
+    mixed = low[:20] + low[20:].upper()
+    secrets = [low, low.upper(), mixed, long, long.upper()]
+    df = spark.createDataFrame([(i, f'TOKEN = "{s}" IS A SECRET') for i, s in enumerate(secrets)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymize(df).collect()}
+    new = [re.fullmatch(r'TOKEN = "([0-9A-Fa-f]+)" IS A SECRET', out[i].text)[1] for i in range(len(secrets))]
+    assert [out[i].n_entities for i in range(len(secrets))] == [1] * len(secrets)
+    assert [len(s) for s in new] == [len(s) for s in secrets]
+    assert all(a.lower() != b.lower() for a, b in zip(new, secrets, strict=True))
+    assert [(s.islower(), s.isupper()) for s in new] == [(s.islower(), s.isupper()) for s in secrets]
+
+
 def test_surrogates_stay_distinct(spark):
     """Few possible replacements: clashes are found and drawn again."""
     rows = [(i, f"To a.{i % 90}@mail.com and b.{i % 100}@mail.com, Mr {f} or Mrs {g} {f}.") for i, (g, f) in enumerate((g, f) for g in pii.POOLS["given_f_latn"] for f in pii.POOLS["family_latn"][:12])]
