@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, pack_row, row_texts, trim, unpack_row
 
-TRIGRAM_BITS = 11
+TRIGRAM_BITS = 12
 DIMS = 256 + (1 << TRIGRAM_BITS)
 #: Bound on the rows that the classifiers are fitted on, all languages together.
-SAMPLE_ROWS = 1200
+SAMPLE_ROWS = 2400
 WINDOW = 60
 #: Margins of posterior probability below this are flagged.
 AMBIGUOUS = 0.05

@@ -22,9 +22,9 @@ from .common import map_batches, materialize, pack_row, row_texts, trim, unpack_
 #: Lengths in bytes of word beginnings; 0 is the whole word.
 LENGTHS = (0, 4, 5, 6, 7, 8, 10)
 HASH_BITS = 22
-FEATURES = 2048
+FEATURES = 4096
 #: Bounds on the labelled rows that the model is fitted on.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2400
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 GRADES = 3
 #: Densities are per this many words, and texts count as having this many at least.
 PER_WORDS = 30.0

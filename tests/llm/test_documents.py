@@ -187,6 +187,12 @@ def test_languages(spark):
     assert held and sum(x.lang == x.lang_pred for x in held) >= 0.95 * len(held) and all(0 <= x.score <= 1 for x in r)
 
 
+def test_model_sizes():
+    """The sizes are not cut to fit the check tool's limits."""
+    assert (language_id.TRIGRAM_BITS, language_id.SAMPLE_ROWS) == (12, 2400)
+    assert (toxicity.FEATURES, toxicity.SAMPLE_TOXIC, toxicity.SAMPLE_CLEAN) == (4096, 1500, 3000)
+
+
 def test_language_edges(spark, edge):
     model = language_id.train(edge)
     got = {r.row: (r.lang_pred, r.score) for r in language_id.identify(edge.withColumn("row", edge.doc_id.cast("int")), model, keep=("row", "text")).collect()}
