@@ -95,7 +95,8 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
     rules = RULES if rules is None else rules
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     table = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    anchored = F.lit(False)
+    # Another table's sentences need hold no anchor.
+    anchored = F.lit(sentences is not SENTENCES)
     for a in ANCHORS:
         anchored = anchored | F.contains("low", F.lit(a))
     marked = F.regexp_replace(F.regexp_replace("low", ENDS, MARK), r"\n\s*" + OPENERS, MARK + "$1")

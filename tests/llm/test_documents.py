@@ -328,6 +328,12 @@ def test_license_rules(spark, text, want, left):
     assert sorted(map(str, con.sql(licenses.oracle_sql()).fetchall()[0])) == sorted(map(str, r))
 
 
+def test_license_sentences_of_another_table(spark):
+    df = spark.createDataFrame([(1, "Do what you like with it. More."), (2, "plain")], "doc_id long, text string")
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(df, {"do what you like with it": "WTF"}, [("Free", ("WTF",))]).collect()}
+    assert got == {1: ("<WTF>", "Free"), 2: ("", "")}
+
+
 def test_license_anchors():
     assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES)
     assert {i for _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES.values())
