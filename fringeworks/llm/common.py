@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import os
+import re
 import shutil
 import tempfile
 import threading
@@ -32,12 +33,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all machines share, from ``spark.checkpoint.dir``; a temporary
-    one only where the session names none (single-machine tests)."""
+    """The folder all machines share, from ``spark.checkpoint.dir``.  Where the
+    session names none, a temporary folder serves a session of one process (tests);
+    on a cluster that is an error, since executors would not see each other's files."""
     global _own_scratch
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_scratch is None:
         _own_scratch = tempfile.mkdtemp(prefix="fringeworks-")
         atexit.register(shutil.rmtree, _own_scratch, ignore_errors=True)
@@ -56,16 +60,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the scratch tables that ``df`` reads; only once nothing needs them."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = scratch_dir(spark)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if root.split(":", 1)[-1] in name:
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete the scratch tables that these DataFrames read; only once nothing needs
+    them.  Files outside the shared scratch folder are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark)).toUri().getPath()
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+            if path.toUri().getPath().startswith(f"{root}/"):
+                path.getFileSystem(conf).delete(path, True)
 
 
 def arrow_limits(spark: SparkSession) -> None:
@@ -77,6 +83,9 @@ def arrow_limits(spark: SparkSession) -> None:
 IDLE_SECONDS = 6.0
 _state: dict = {}
 _busy: list = []
+#: Held where tasks begin and end and where an idle worker drops its state, so that
+#: nothing is dropped under a running task.
+_turn = threading.RLock()
 
 
 def trim(collect: bool = True) -> None:
@@ -98,12 +107,30 @@ def worker_state(key: tuple, build: Callable):
     return _state[key]
 
 
-def _release(key: tuple | None) -> None:
+def _enter(key: tuple | None) -> None:
     """Workers are used again for other operators; what the last one kept is given
     back to the machine first."""
-    if _state and key not in _state:
-        _state.clear()
-        trim()
+    with _turn:
+        _busy.append(key)
+        if _state and key not in _state:
+            _state.clear()
+            trim()
+
+
+def _leave() -> None:
+    with _turn:
+        _busy.pop()
+        trim(collect=False)
+    idle = threading.Timer(IDLE_SECONDS, _rest)
+    idle.daemon = True
+    idle.start()
+
+
+def _rest() -> None:
+    with _turn:
+        if _state and not _busy:
+            _state.clear()
+            trim()
 
 
 def ship(spark: SparkSession) -> None:
@@ -125,32 +152,27 @@ def ship(spark: SparkSession) -> None:
 _shipped: set[str] = set()
 
 
-def _rest() -> None:
-    if _state and not _busy:
-        _state.clear()
-        trim()
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, state: tuple | None = None) -> DataFrame:
     """``fn`` over Arrow batches; ``state`` is the key of the worker state it uses."""
     arrow_limits(df.sparkSession)
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _busy.append(state)
+        _enter(state)
         try:
-            _release(state)
             yield from fn(batches)
         finally:
-            _busy.pop()
-            trim(collect=False)
-            idle = threading.Timer(IDLE_SECONDS, _rest)
-            idle.daemon = True
-            idle.start()
+            _leave()
 
     return df.mapInArrow(run, schema)
 
 
+def in_one_task(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, *order: str) -> DataFrame:
+    """``fn`` over all of ``df`` in one task of an executor, in the given order.  Only for
+    tables of a size that a parameter bounds, such as training samples."""
+    return map_batches(df.repartition(1).sortWithinPartitions(*order), fn, schema)
+
+
 def pack_row(df: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
     """``row``, a struct of the columns to keep by position, so that their names
     clash with nothing; the text is its field ``text``, once."""

@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, pack_row, row_texts, trim, unpack_row
+from . import sampling
+from .common import drop_scratch, in_one_task, map_batches, pack_row, row_texts, unpack_row
 
 TRIGRAM_BITS = 12
 DIMS = 256 + (1 << TRIGRAM_BITS)
-#: Bound on the rows that the classifiers are fitted on, all languages together.
+#: Bound on the texts that the classifiers are fitted on, all languages together, and
+#: what each language gets at least where there are very many.
 SAMPLE_ROWS = 2400
+SAMPLE_LEAST = 8
 WINDOW = 60
 #: Margins of posterior probability below this are flagged.
 AMBIGUOUS = 0.05
@@ -105,41 +108,45 @@ def fit_codes(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 120)
     return LanguageModel(langs, code, w, bias, trust)
 
 
-def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The whole text and a short window of it, so that short texts are learnt too."""
+def _fit(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The whole model in one row.  Each text is learnt whole and by a short window of
+    it, so that short texts are learnt too."""
+    names: list[str] = []
+    x = np.empty((2 * rows, DIMS), dtype=np.float32)
     for b in batches:
-        langs, rows = [], []
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+        for lang, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
             raw = text.lower().encode()
             at = (len(raw) - WINDOW) // 2
             for part in (raw, raw[max(at, 0) : max(at, 0) + WINDOW]):
-                langs.append(lang)
-                rows.append(grams(part).astype(np.float16).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(rows, pa.binary())], ["lang", "x"])
+                x[len(names)] = grams(part)
+                names.append(lang)
+    langs = sorted(set(names))
+    m = fit_codes(x[: len(names)], np.array([langs.index(n) for n in names]), langs) if names else LanguageModel()
+    del x
+    parts = [pa.array([a.tobytes()], pa.binary()) for a in (m.code, m.weights, m.bias, m.trust)]
+    yield pa.RecordBatch.from_arrays([pa.array([m.langs], pa.list_(pa.string())), *parts], ["langs", "code", "weights", "bias", "trust"])
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fit on at most ``sample_rows`` rows with text and language, drawn by a hash
-    of the text, as many of each language as possible.  No such row gives a
-    model without languages."""
-    rows = docs.filter("text is not null and lang is not null").select("text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows // 4).collect()}
+    """Fit on at most ``sample_rows`` distinct texts with a language (SAMPLE_LEAST of each
+    language where that is more), as many of each as possible.
+
+    Copies of a text count once, and the sample is drawn by a hash of the text, so
+    neither a large group of copies nor the order of rows or partitions changes the
+    model.  No such text gives a model without languages.  The fit runs in one task of
+    an executor, on the sample alone; only the weights come back.
+    """
+    rows = docs.filter("text is not null and lang is not null").select(F.col("lang").alias("label"), "text")
+    sample, counts = sampling.draw(rows.select("label", sampling.text_hash().alias("h")), rows.select("text"), sample_rows, SAMPLE_LEAST, "language")
     if not counts:
+        drop_scratch(sample)
         return LanguageModel()
-    each = sample_rows // len(counts)
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))])[F.col("lang")]
-    drawn = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).limit(sample_rows + sample_rows // 4)
-    trim()
-    names: list[str] = []
-    x = np.empty((2 * (sample_rows + sample_rows // 4), DIMS), dtype=np.float32)
-    for r in map_batches(drawn, _sample_features, "lang string, x binary").toLocalIterator():
-        x[len(names)] = np.frombuffer(r["x"], dtype=np.float16)
-        names.append(r["lang"])
-    langs = sorted(set(names))
-    model = fit_codes(x[: len(names)], np.array([langs.index(n) for n in names]), langs) if names else LanguageModel()
-    del x
-    trim()
-    return model
+    bound = max(sample_rows, SAMPLE_LEAST * len(counts))
+    r = in_one_task(sample, lambda it: _fit(it, bound), "langs array<string>, code binary, weights binary, bias binary, trust binary", "label", "h").first()
+    drop_scratch(sample)
+    n = len(r["langs"])
+    array = lambda name, kind, *shape: np.frombuffer(bytes(r[name]), dtype=kind).reshape(shape)
+    return LanguageModel(list(r["langs"]), array("code", np.float64, n, -1), array("weights", np.float32, DIMS, -1), array("bias", np.float32, -1), array("trust", np.float64, n, -1))
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -170,8 +177,9 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     1) and ambiguous, from the whole text alone.
 
     Null text and text without a letter give `und` with score 0, and so does
-    every text where the model knows no language.  Repeated rows and null ids
-    pass through; an empty table gives an empty result.
+    every text where the model knows no language.  Where two languages are equally
+    near, the one first by name wins, and the text is ambiguous.  Repeated rows and
+    null ids pass through; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     packed = pack_row(docs, keep, text_col)

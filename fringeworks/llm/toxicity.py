@@ -13,11 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import textvec
-from .common import map_batches, materialize, pack_row, row_texts, trim, unpack_row
+from . import sampling, textvec
+from .common import drop_scratch, in_one_task, map_batches, pack_row, row_texts, unpack_row
 
 #: Lengths in bytes of word beginnings; 0 is the whole word.
 LENGTHS = (0, 4, 5, 6, 7, 8, 10)
@@ -111,46 +111,58 @@ def _densities(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterato
             hit = at[wanted[at] == s]
             x = np.bincount(hit, minlength=len(wanted)) * (PER_WORDS / max(n, PER_WORDS))
             xs.append(x.astype(np.float16).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(xs, pa.binary())], ["toxic", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("h"), pa.array(xs, pa.binary())], ["toxic", "h", "x"])
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN) -> OrdinalModel | None:
-    """Fit on at most ``toxic_rows`` + ``clean_rows`` labelled texts, drawn by a hash
-    of the id.  None where either kind is missing."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    if len(counts) < 2:
-        return None
-    share = F.when(F.col("toxic") == 1, min(1.0, toxic_rows / counts[1])).otherwise(min(1.0, clean_rows / counts[0]))
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).limit(2 * (toxic_rows + clean_rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    sample = materialize(texts.join(F.broadcast(drawn), "doc_id").select("toxic", "text").limit(2 * (toxic_rows + clean_rows)), "toxicity-sample")
-    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if len(n) < 2:
-        return None
-    seen = map_batches(sample, _presence, "slot long, pos long, neg long").groupBy("slot").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    p, q, both = F.col("pos") / n[1], F.col("neg") / n[0], (F.col("pos") + F.col("neg")) / (n[0] + n[1])
-    chi = (p - q) * (p - q) / (both * (1 - both) + 1e-3)
-    best = seen.filter("pos + neg >= 3").select("slot", p.alias("p"), q.alias("q"), chi.alias("chi")).orderBy(F.desc("chi"), "slot").limit(FEATURES).collect()
-    if not best:
-        return None
-    best = sorted(best, key=lambda r: r["slot"])
-    wanted = np.array([r["slot"] for r in best])
-    odds = np.log((np.array([r["p"] for r in best]) + 0.01) / (np.array([r["q"] for r in best]) + 0.01))
-    trim()
-    x, known_toxic = np.empty((n[0] + n[1], len(wanted)), dtype=np.float32), []
-    for r in map_batches(sample.select("toxic", "text"), lambda it: _densities(it, wanted), "toxic int, x binary").toLocalIterator():
-        x[len(known_toxic)] = np.frombuffer(r["x"], dtype=np.float16)
-        known_toxic.append(r["toxic"])
-    toxic = np.array(known_toxic)
+def _fit(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, odds: np.ndarray, rows: int, prior: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Weights and thresholds in one row, from (toxic, x)."""
+    x, known = np.empty((rows, len(wanted)), dtype=np.float32), []
+    for b in batches:
+        for y, raw in zip(b.column("toxic").to_pylist(), b.column("x"), strict=True):
+            x[len(known)] = np.frombuffer(raw.as_buffer(), dtype=np.float16)
+            known.append(y)
+    x, toxic = x[: len(known)], np.array(known)
     lexical = x @ np.where(odds > 1.0, odds, 0).astype(np.float32)
     cuts = np.quantile(lexical[toxic == 1], [i / GRADES for i in range(1, GRADES)])
     grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, lexical, side="right"), 0)
-    weight = np.where(toxic == 1, counts[1] / n[1], counts[0] / n[0])
+    weight = np.where(toxic == 1, prior[1] / max((toxic == 1).sum(), 1), prior[0] / max((toxic == 0).sum(), 1))
     w, theta = fit_ordinal(x, grade, weight)
-    del x
-    trim()
-    return OrdinalModel(wanted, w, theta)
+    yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([theta.tobytes()], pa.binary())], ["weights", "theta"])
+
+
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN) -> OrdinalModel | None:
+    """Fit on at most ``toxic_rows`` + ``clean_rows`` distinct labelled texts of both
+    kinds, drawn by a hash of the text.  None where either kind is missing.
+
+    The features are chosen by grouped counts over the sample; the fit runs in one task
+    of an executor, on the sample alone, and only the weights come back.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
+    labelled = texts.select("doc_id", sampling.text_hash().alias("h")).join(known, "doc_id").select("label", "h")
+    bound = toxic_rows + clean_rows
+    drawn, counts = sampling.draw(labelled, texts.select("text"), 2 * max(toxic_rows, clean_rows), 1, "toxicity")
+    try:
+        if len(counts) < 2:
+            return None
+        order = Window.partitionBy("label").orderBy(F.xxhash64("h"), "h")
+        most = F.when(F.col("label") == 1, toxic_rows).otherwise(clean_rows)
+        sample = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select(F.col("label").alias("toxic"), "h", "text")
+        n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+        seen = map_batches(sample.select("toxic", "text"), _presence, "slot long, pos long, neg long").groupBy("slot").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        p, q, both = F.col("pos") / n[1], F.col("neg") / n[0], (F.col("pos") + F.col("neg")) / (n[0] + n[1])
+        chi = (p - q) * (p - q) / (both * (1 - both) + 1e-3)
+        best = seen.filter("pos + neg >= 3").select("slot", p.alias("p"), q.alias("q"), chi.alias("chi")).orderBy(F.desc("chi"), "slot").limit(FEATURES).collect()
+        if not best:
+            return None
+        best = sorted(best, key=lambda r: r["slot"])
+        wanted = np.array([r["slot"] for r in best])
+        odds = np.log((np.array([r["p"] for r in best]) + 0.01) / (np.array([r["q"] for r in best]) + 0.01))
+        x = map_batches(sample, lambda it: _densities(it, wanted), "toxic int, h long, x binary")
+        r = in_one_task(x, lambda it: _fit(it, wanted, odds, bound, (counts[0], counts[1])), "weights binary, theta binary", "toxic", "h").first()
+        return OrdinalModel(wanted, np.frombuffer(bytes(r["weights"]), np.float32), np.frombuffer(bytes(r["theta"])))
+    finally:
+        drop_scratch(drawn)
 
 
 def _grade(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -179,6 +191,12 @@ def grade(docs: DataFrame, model: OrdinalModel | None, keep: tuple[str, ...] = (
     """The columns ``keep`` with severity (expected grade), grade (median), p_toxic
     and toxic.
 
+    What the grades mean: the labels tell only toxic from clean, so grades 1 to 3 are
+    thirds of the toxic sample by density of the very features that the model is fitted
+    on.  Within toxic texts severity therefore says how dense indicative words are; it
+    is no outside judgement of harm.  That toxic is told from clean is tested on rows
+    held out.
+
     Null text counts as empty; a text without words scores 0.  Without a model
     (no labels of both kinds) nothing is toxic.  Repeated rows and null ids pass
     through; an empty table gives an empty result.
