@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringeworks.llm import language_id, minhash, packing, pii, toxicity
-from fringeworks.llm.common import materialize
+from fringeworks.llm.common import drop_scratch, materialize
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def _wrapped(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and texts between two languages, go."""
+    """Texts without a letter, null and empty ones too, and texts between two languages
+    go.  Without any row with text and language all stay."""
     model = language_id.train(docs.filter(~language_id.held_out()))
     if not model.langs:  # no labelled row, so no language to tell
         return docs
@@ -33,20 +34,35 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts more likely toxic than not go."""
+    """Texts more likely toxic than not go; without labels of both kinds all stay, and
+    so do null and empty texts."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.grade(_wrapped(docs), model, keep=("doc",)).filter(~F.col("toxic")).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word shingles, similarity 0.8 or
-    more) the document with the smallest id stays."""
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    more) one document stays, that with the smallest id.
+
+    Rows are told apart by id and text: of an id that repeats with several texts each
+    text is judged by itself, and of rows that repeat both one stays.  Null and empty
+    texts and rows without an id stay; an empty table gives an empty result.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*names).alias("doc"), F.col("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("row_key"))
+    found = minhash.near_duplicates(keyed, key_col="row_key").filter("doc_id is not null")
+    # One row for each id and text; those of repeated rows come back once, below.
+    rows = materialize(found.groupBy("doc_id", "row_key").agg(F.first("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"), "dedup-rows")
+    out = keyed.join(rows.select("doc_id", "row_key").hint("shuffle_hash"), ["doc_id", "row_key"], "left_anti")
+    again = rows.filter("kept").select("doc_id", "row_key")
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(again, ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id", "row_key"]))
+    return out.select("doc.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Entities get keyed surrogates; n_chars follows the new text."""
+    """Entities get keyed surrogates; n_chars follows the new text.  Null and empty texts
+    stay as they are."""
     count = "n_entities"
     while count.lower() in {c.lower() for c in docs.columns}:
         count += "_"
@@ -57,7 +73,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens along the curve."""
+    """Pieces of sequences of 4096 tokens along the curve; a null or empty text is its
+    end id alone."""
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -78,5 +95,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, made = docs, stage(spark, docs, sf_dir)
+        docs = materialize(made, f"stage-{name}")
+        # What the stage read is written anew; files outside the scratch folder stay.
+        drop_scratch(made, before)
     return STAGES[-1][1](spark, docs, sf_dir)
