@@ -16,19 +16,30 @@ def is_outlier() -> Column:
     return no_threshold | F.coalesce(~F.isnan(value) & (value > F.col("threshold")), F.lit(False))
 
 
-def judged(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
+#: Thresholds of so many cells at most (about 100 MB as a hash table) go to all tasks.
+BROADCAST_CELLS = 1_000_000
+
+
+def lookup(thresholds: DataFrame, cells: int | None = None) -> DataFrame:
+    """The columns that samples are joined with; marked for broadcast where the number
+    of cells is known and small.  Otherwise Spark chooses by size."""
+    kept = thresholds.select(*CELL, "threshold")
+    return F.broadcast(kept) if cells is not None and cells <= BROADCAST_CELLS else kept
+
+
+def judged(samples: DataFrame, thresholds: DataFrame, cells: int | None = None) -> DataFrame:
     """``samples`` with threshold and outlier."""
-    return samples.join(thresholds.select(*CELL, "threshold"), CELL, "left").withColumn("outlier", is_outlier())
+    return samples.join(lookup(thresholds, cells), CELL, "left").withColumn("outlier", is_outlier())
 
 
-def flags(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
-    return judged(samples, thresholds).filter("outlier").select(*PAIR, "row_id", "chan")
+def flags(samples: DataFrame, thresholds: DataFrame, cells: int | None = None) -> DataFrame:
+    return judged(samples, thresholds, cells).filter("outlier").select(*PAIR, "row_id", "chan")
 
 
-def inliers(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
+def inliers(samples: DataFrame, thresholds: DataFrame, cells: int | None = None) -> DataFrame:
     """What remains for statistics after flagging: at most the threshold, which exists."""
     kept = F.col("threshold").isNotNull() & ~F.isnan("threshold") & ~F.isnan("value") & (F.col("value") <= F.col("threshold"))
-    return samples.join(thresholds.select(*CELL, "threshold"), CELL).filter(kept).drop("threshold")
+    return samples.join(lookup(thresholds, cells), CELL).filter(kept).drop("threshold")
 
 
 def summary(judged_samples: DataFrame) -> DataFrame:
@@ -40,15 +51,25 @@ def rollup_summary(judged_samples: DataFrame) -> DataFrame:
     return judged_samples.rollup(*PAIR).agg(F.count("*").alias("n_total"), F.count_if("outlier").alias("n_flagged"))
 
 
+def _masks(new: DataFrame) -> DataFrame:
+    """(row_id, _keys): for each correlation an array of 64-bit words, a bit per
+    channel.  One shuffle, by row; a row holds at most its channels times correlations."""
+    chan = F.col("chan").cast("int")
+    bits = new.repartition("row_id").groupBy("row_id", F.col("corr").cast("int").alias("corr"), F.shiftright(chan, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(chan as int) & 63)")).alias("bits"))
+    words = bits.groupBy("row_id", "corr").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"), F.max("word").alias("top"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("top")), lambda w: F.coalesce(F.element_at("held", w), F.lit(0).cast("bigint")))
+    return words.select("row_id", "corr", dense.alias("words")).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("corr", "words"))).alias("_keys"))
+
+
 def merge_flags(main: DataFrame, new: DataFrame) -> DataFrame:
     """``main`` with flags set where ``new`` (row_id, chan, corr) says so; no flag is
     ever cleared.  Adds n_new, the flags set in the row that were not before.
 
-    The keys of a row number at most its channels times correlations.
+    Each flag is looked up by index in its correlation's bits.
     """
-    keys = new.groupBy("row_id").agg(F.collect_set(F.struct(F.col("chan").cast("int").alias("chan"), F.col("corr").cast("int").alias("corr"))).alias("_keys"))
-    both = main.join(keys, "row_id", "left")
-    hit = lambda c, p: F.coalesce(F.array_contains(F.col("_keys"), F.struct(c.alias("chan"), p.alias("corr"))), F.lit(False))
+    both = main.join(_masks(new), "row_id", "left")
+    word = lambda c, p: F.get(F.element_at("_keys", p), F.shiftright(c, 6))
+    hit = lambda c, p: F.coalesce(F.getbit(word(c, p), F.pmod(c, F.lit(64))) == 1, F.lit(False))
     merged = F.transform("flag", lambda row, c: F.transform(row, lambda f, p: f | hit(c, p)))
     ones = lambda cube: F.aggregate(cube, F.lit(0), lambda s, row: s + F.size(F.filter(row, lambda f: f)))
     old, untouched = F.col("flag"), F.col("_keys").isNull()

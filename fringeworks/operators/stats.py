@@ -3,7 +3,9 @@
 Small cells get the exact median and MAD; large ones quantiles of a histogram of
 fixed range.  The histogram is a grouped count, combined on the map side to at most
 ``n_bins`` rows per cell and task, so a cell near the origin that holds most
-samples costs its task no more than others.
+samples costs its task no more than others.  The samples are read twice: for count and
+range of each cell, and for the counts of bins and of small cells' values, which one
+aggregation makes together.
 """
 
 from __future__ import annotations
@@ -65,20 +67,21 @@ def _middle(xs: Column) -> Column:
     return ((low.cast("double") + high.cast("double")) / 2).cast("float")
 
 
-def small_stats(values: DataFrame) -> DataFrame:
-    """Exact statistics in one aggregation, for cells of at most EXACT samples."""
-    sorted_ = values.groupBy(*CELL).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("value")).alias("xs"))
-    centred = sorted_.withColumn("median", _middle(F.col("xs")))
-    devs = centred.withColumn("ds", F.sort_array(F.transform("xs", lambda x: F.abs(x.cast("double") - F.col("median")).cast("float"))))
-    return devs.select(*CELL, "n", "median", _sigma(_middle(F.col("ds"))).alias("std"))
+def _range(vmin: Column, vmax: Column) -> tuple[Column, Column]:
+    """Lower end and length of a cell's histogram."""
+    lo, top = vmin.cast("double"), vmax.cast("double")
+    return lo, F.when(top > lo, top).otherwise(lo + 1.0) - lo
+
+
+def _bin(value: Column, lo: Column, length: Column, n_bins: int) -> Column:
+    return F.least(F.greatest(F.floor((value.cast("double") - lo) / length * F.lit(n_bins)), F.lit(0)), F.lit(n_bins - 1)).cast("int")
 
 
 def histogram(ranged: DataFrame, n_bins: int = 256) -> DataFrame:
     """(cell, n, lo, width, bin, k) from samples with their cell's n, vmin and vmax."""
-    lo, top = F.col("vmin").cast("double"), F.col("vmax").cast("double")
-    hi = F.when(top > lo, top).otherwise(lo + 1.0)
-    bin_ = F.least(F.greatest(F.floor((F.col("value").cast("double") - lo) / (hi - lo) * F.lit(n_bins)), F.lit(0)), F.lit(n_bins - 1)).cast("int")
-    return ranged.select(*CELL, "n", lo.alias("lo"), ((hi - lo) / F.lit(float(n_bins))).alias("width"), bin_.alias("bin")).groupBy(*CELL, "n", "lo", "width", "bin").agg(F.count("*").alias("k"))
+    lo, length = _range(F.col("vmin"), F.col("vmax"))
+    bin_ = _bin(F.col("value"), lo, length, n_bins)
+    return ranged.select(*CELL, "n", lo.alias("lo"), (length / F.lit(float(n_bins))).alias("width"), bin_.alias("bin")).groupBy(*CELL, "n", "lo", "width", "bin").agg(F.count("*").alias("k"))
 
 
 def quantiles(hist: DataFrame) -> DataFrame:
@@ -102,11 +105,36 @@ def with_ranges(samples: DataFrame) -> DataFrame:
     return values.join(count_min_max(samples), CELL)
 
 
+def _quantiles(slots: Column, n: Column, lo: Column, width: Column, shares: tuple[float, ...]) -> Column:
+    """A struct q0, q1, ... from a cell's sorted (slot, k), as ``quantiles`` has them."""
+    names = [f"q{i}" for i in range(len(shares))]
+    start = F.struct(F.lit(0).cast("bigint").alias("cum"), *[F.lit(None).cast("double").alias(q) for q in names])
+
+    def step(a: Column, e: Column) -> Column:
+        cum = a["cum"] + e["k"]
+        at = lambda rank: lo + (e["slot"].cast("double") + (rank - a["cum"]) / e["k"]) * width
+        found = [F.coalesce(a[q], F.when(cum >= n * F.lit(share), at(n * F.lit(share)))).alias(q) for q, share in zip(names, shares, strict=True)]
+        return F.struct(cum.alias("cum"), *found)
+
+    return F.aggregate(slots, start, step)
+
+
 def hybrid_stats(samples: DataFrame, n_bins: int = 256) -> DataFrame:
+    """n, median and std of every cell: exact for cells of at most EXACT samples, whose
+    slots are their values, and from ``n_bins`` bins, the slots of the others."""
     ranged = with_ranges(samples)
-    small = small_stats(ranged.filter(F.col("n") <= EXACT).select(*CELL, "value"))
-    large = quantiles(histogram(ranged.filter(F.col("n") > EXACT), n_bins)).select(*CELL, "n", "median", "std")
-    return small.unionByName(large)
+    lo, length = _range(F.col("vmin"), F.col("vmax"))
+    small = F.col("n") <= EXACT
+    slot = F.when(small, F.col("value")).otherwise(_bin(F.col("value"), lo, length, n_bins).cast("float"))
+    slots = ranged.select(*CELL, slot.alias("slot"), "vmin", "vmax").groupBy(*CELL, "slot").agg(F.count("*").alias("k"), F.min("vmin").alias("vmin"), F.min("vmax").alias("vmax"))
+    cells = slots.groupBy(*CELL).agg(F.sum("k").alias("n"), F.min("vmin").alias("vmin"), F.min("vmax").alias("vmax"), F.sort_array(F.collect_list(F.struct("slot", "k"))).alias("slots"))
+    xs = F.flatten(F.transform("slots", lambda e: F.array_repeat(e["slot"], e["k"].cast("int"))))
+    exact = cells.withColumn("xs", F.when(small, xs)).withColumn("middle", F.when(small, _middle(F.col("xs"))))
+    off = F.sort_array(F.transform("xs", lambda x: F.abs(x.cast("double") - F.col("middle")).cast("float")))
+    q = exact.withColumns({"sigma": F.when(small, _sigma(_middle(off))), "q": F.when(~small, _quantiles(F.col("slots"), F.col("n"), lo, length / F.lit(float(n_bins)), (0.25, 0.5, 0.75)))})
+    median = F.when(small, F.col("middle")).otherwise(F.col("q.q1").cast("float"))
+    std = F.when(small, F.col("sigma")).otherwise(((F.col("q.q2") - F.col("q.q0")) / F.lit(IQR_TO_SIGMA)).cast("float"))
+    return q.select(*CELL, "n", median.alias("median"), std.alias("std"))
 
 
 def cell_stats(samples: DataFrame, method: str = "hybrid", n_bins: int = 256) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fringeworks.functions import coords
-from fringeworks.schema import PAIR
+from fringeworks.schema import CELL, PAIR
 
 
 def neighbourhood(cells: DataFrame, kernel: int, nsigma: float) -> DataFrame:
@@ -27,6 +27,20 @@ def neighbourhood(cells: DataFrame, kernel: int, nsigma: float) -> DataFrame:
     return wide.filter("shift = 0").drop("shift", "row_v")
 
 
+def neighbour_map(cells: DataFrame, kernel: int, n: int) -> DataFrame:
+    """(cell, n_neighbors) of every cell of the grid that has an occupied cell in its box,
+    itself occupied or not; cells beyond the edge of the grid are left out.
+
+    Each occupied cell counts for all cells whose boxes it is in, itself excepted.
+    """
+    back, ahead = kernel // 2, kernel - kernel // 2 - 1
+    shift = lambda name: F.explode(F.sequence(F.lit(-ahead), F.lit(back))).alias(name)
+    spread = cells.select(*CELL, shift("du")).select("*", shift("dv"))
+    spread = spread.select(*PAIR, (F.col("cell_u") + F.col("du")).alias("cell_u"), (F.col("cell_v") + F.col("dv")).alias("cell_v"), ((F.col("du") != 0) | (F.col("dv") != 0)).cast("bigint").alias("one"))
+    inside = spread.filter(F.col("cell_u").between(0, 2 * n) & F.col("cell_v").between(0, n))
+    return inside.groupBy(*CELL).agg(F.sum("one").alias("n_neighbors"))
+
+
 def rings(cells: DataFrame, cell_size: float, widths: tuple[float, ...], n: int) -> DataFrame:
     radius = coords.cell_radius(F.col("cell_u"), F.col("cell_v"), cell_size, n)
     return cells.withColumn("ring", coords.ring_index(radius, widths))

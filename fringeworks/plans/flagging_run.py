@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import tempfile
 import time
 import uuid
 from functools import cached_property
@@ -28,6 +27,8 @@ class FlagRun:
 
     def __init__(self, data: Dataset, config: FlagConfig, cache: ResultCache | None = None):
         check_quantity(config.quantity)
+        if wrong := config.problems():
+            raise ValueError("; ".join(wrong))
         self.data, self.config, self.cache = data, config, cache
 
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
@@ -61,13 +62,18 @@ class FlagRun:
         c = self.config
         return self._kept("thresholds", thresholds.thresholds(self.cells, c.cell_size, self.n, c.nsigma, c.smoothing_window, c.annulus_widths, c.min_neighbors))
 
+    @cached_property
+    def n_cells(self) -> int | None:
+        """The number of cells with a threshold, where that is a look at stored files."""
+        return None if self.cache is None else self.thresholds.count()
+
     @cached_property
     def judged(self) -> DataFrame:
-        return flagging.judged(self.samples, self.thresholds)
+        return flagging.judged(self.samples, self.thresholds, self.n_cells)
 
     @cached_property
     def flags(self) -> DataFrame:
-        return self._kept("flags", flagging.flags(self.samples, self.thresholds))
+        return self._kept("flags", flagging.flags(self.samples, self.thresholds, self.n_cells))
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -75,7 +81,7 @@ class FlagRun:
 
     @cached_property
     def cells_after(self) -> DataFrame:
-        return self._kept("cells_after", stats.hybrid_stats(flagging.inliers(self.samples, self.thresholds), self.config.n_bins))
+        return self._kept("cells_after", stats.hybrid_stats(flagging.inliers(self.samples, self.thresholds, self.n_cells), self.config.n_bins))
 
     @cached_property
     def merged(self) -> DataFrame:
@@ -84,15 +90,30 @@ class FlagRun:
 
 def replace_main(spark: SparkSession, path: str, merged: DataFrame) -> int:
     """Write ``merged`` beside the main table, counting new flags on the way, then swap
-    the folders.  A failure before the swap leaves the table as it was."""
+    the folders.
+
+    A failure before the swap leaves the table as it was; a failed second rename puts the
+    old folder back.  If the driver is lost between the two renames, the whole old table is
+    in ``main.old-*`` and the whole new one in ``main.new-*``: rename either to
+    ``main.parquet``.  Renames of folders are atomic on HDFS and local file systems, not
+    in object stores.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     tag = uuid.uuid4().hex
     new, old, main = (hadoop(f"{path}/{x}") for x in (f"main.new-{tag}", f"main.old-{tag}", "main.parquet"))
     seen = Observation(f"flags-{tag}")
     merged.observe(seen, F.sum("n_new").alias("n")).drop("n_new").write.parquet(new.toString())
     fs = main.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.rename(main, old)
-    fs.rename(new, main)
+    if not fs.rename(main, old):
+        raise OSError(f"cannot rename {main.toString()}")
+    try:
+        done = fs.rename(new, main)
+    except Exception:
+        fs.rename(old, main)
+        raise
+    if not done:
+        fs.rename(old, main)
+        raise OSError(f"cannot rename {new.toString()}")
     fs.delete(old, True)
     return int(seen.get["n"] or 0)
 
@@ -158,4 +179,4 @@ def flag_visibilities(
 
 
 def local_session(app: str = NAME) -> SparkSession:
-    return SparkSession.builder.appName(app).config("spark.local.dir", tempfile.gettempdir()).getOrCreate()
+    return SparkSession.builder.appName(app).getOrCreate()

@@ -18,14 +18,19 @@ from fringeworks.sources.cache import open_readonly
 log = logging.getLogger(f"{NAME}.plots")
 
 
+#: Pixels of a picture along either side at most.
+SIDE = 2048
+
+
 def _grid(cells: DataFrame, spw: int, corr: int, column: str, n: int) -> np.ndarray:
-    """One (2N+1, N+1) grid; its size is the picture's, not the data's."""
-    rows = cells.filter((F.col("spw_id") == spw) & (F.col("corr") == corr)).select("cell_u", "cell_v", column).toPandas()
-    out = np.full((2 * n + 1, n + 1), np.nan)
-    inside = rows.cell_u.between(0, 2 * n) & rows.cell_v.between(0, n)
-    rows = rows[inside]
-    out[rows.cell_u.to_numpy(), rows.cell_v.to_numpy()] = rows[column].to_numpy()
-    out[out == 0] = np.nan
+    """One (2N+1, N+1) grid, or where that is larger than a picture the means of square
+    blocks of it, made by Spark; so what reaches the driver is bounded by SIDE."""
+    step = -(-(2 * n + 1) // SIDE)
+    own = cells.filter((F.col("spw_id") == spw) & (F.col("corr") == corr) & F.col("cell_u").between(0, 2 * n) & F.col("cell_v").between(0, n) & (F.col(column) != 0))
+    block = lambda c: F.floor(F.col(c) / step).cast("int").alias(c)
+    rows = own.groupBy(block("cell_u"), block("cell_v")).agg(F.mean(column).alias("value")).toPandas()
+    out = np.full((2 * n // step + 1, n // step + 1), np.nan)
+    out[rows.cell_u.to_numpy(), rows.cell_v.to_numpy()] = rows["value"].to_numpy()
     return out
 
 

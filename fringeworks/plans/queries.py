@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fringeworks.config import FlagConfig
 from fringeworks.functions import coords
 from fringeworks.functions.quantity import quantity_of
 from fringeworks.operators import flagging, gridexport, samples, stats, thresholds
@@ -171,10 +174,22 @@ def model_subtract(s, d):
     return samples.explode_cube(main, fx.windows(s), "z").select("row_id", "chan", "corr", "re", "im")
 
 
-@_query("SELECT 'data-model' AS data_column, count(*)>0 AS has_rows FROM embeddings")
+_LIT = "(SELECT max(abs(e[i])) > 0 FROM (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1000), (SELECT unnest([1, 2, 3, 4]) AS i) WHERE i % 2 = 1)"
+
+
+@_query(f"""SELECT 'data only' AS columns, 'data' AS data_column UNION ALL SELECT 'model in use', CASE WHEN {_LIT} THEN 'data-model' ELSE 'data' END
+UNION ALL SELECT 'model of zeros', CASE WHEN (SELECT max(abs(embedding[1] * 0)) > 0 FROM embeddings) THEN 'data-model' ELSE 'data' END
+UNION ALL SELECT 'corrected', CASE WHEN {_LIT} THEN 'corrected_data-model' ELSE 'data' END UNION ALL SELECT 'residual', 'residual' UNION ALL SELECT 'requested', 'MODEL_DATA'""")
 def resolve_column(s, d):
+    """The column chosen for tables of several sets of columns."""
     main = fx.main_table(s, d)
-    return main.agg((F.count("*") > 0).alias("has_rows")).select(F.lit(visibilities.resolve_column(main)).alias("data_column"), "has_rows")
+    nothing = F.transform("model_data", lambda row: F.transform(row, lambda z: F.struct((z["re"] * 0).cast("float").alias("re"), z["im"].alias("im"))))
+    tables = {
+        "data only": main.drop("model_data"), "model in use": main, "model of zeros": main.withColumn("model_data", nothing),
+        "corrected": main.withColumnRenamed("data", "corrected_data"), "residual": main.withColumn("residual", F.col("data")),
+    }
+    chosen = [(name, visibilities.resolve_column(df)) for name, df in tables.items()]
+    return s.createDataFrame([*chosen, ("requested", visibilities.resolve_column(main, "MODEL_DATA"))], "columns string, data_column string")
 
 
 @_query(f"WITH {_CUBE} SELECT row_id, spw_id, field_id, chan, corr, freq, re, im, flag FROM cube")
@@ -393,13 +408,59 @@ def cube_flag_counts(s, d):
     return _cube_flags(s, d).groupBy("spw_id", "corr").agg(F.count("*").alias("n_flags"))
 
 
-@_query(f"WITH {_FLAT} SELECT {_K}, count(*) AS n FROM samples GROUP BY ALL")
-def cache_roundtrip(s, d):
-    """Counts over samples that went through the cache's files."""
-    import uuid
-
+def _cache(s: SparkSession) -> cache.ResultCache:
+    """A cache for one query, in the folder all machines share; it goes with the session."""
     root = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
     store = cache.ResultCache(s, f"{root.rstrip('/')}/cache-{uuid.uuid4().hex}")
-    return stats.cell_counts(store.store("samples", fx.flat(s, d)))
+    atexit.register(store.delete_quietly)
+    return store
 
 
+@_query(f"WITH {_FLAT} SELECT {_K}, count(*) AS n FROM samples GROUP BY ALL")
+def cache_roundtrip(s, d):
+    """Counts over samples that went through the cache's files."""
+    return stats.cell_counts(_cache(s).store("samples", fx.flat(s, d)))
+
+
+@_query(f"WITH {_CUBE} SELECT spw_id, corr, count(*) AS n, min(row_id) AS first_row, max(row_id) AS last_row FROM samples GROUP BY ALL")
+def cache_append(s, d):
+    """Samples appended to the cache in three parts."""
+    store, data = _cache(s), fx.cube_samples(s, d)
+    for k in range(3):
+        store.append("samples", data.filter(F.pmod("row_id", F.lit(3)) == k))
+    return store.load("samples", data.schema).groupBy("spw_id", "corr").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+
+
+@_query(f"WITH {_CUBE}, {_stats('samples', 'cells')} SELECT {_K}, n, median, std FROM cells WHERE spw_id = 1 AND corr = 0")
+def cache_grid_load(s, d):
+    """The cells of one window and correlation, from a cache opened for reading."""
+    store, cells = _cache(s).create(d, FlagConfig(), coords.grid_shape(fx.CUBE_N), fx.windows(s)), stats.hybrid_stats(fx.cube_samples(s, d))
+    store.store("cells", cells)
+    return cache.open_readonly(s, store.path).load("cells", cells.schema, spw_id=1, corr=0).select(*cells.columns)
+
+
+@_query(f"WITH {_FLAT}, first AS (SELECT {_K}, count(*) AS n FROM samples GROUP BY ALL) SELECT {_K}, n*2 AS n FROM first")
+def cache_overwrite(s, d):
+    """A grid stored twice: the second replaces the first."""
+    store, counts = _cache(s), stats.cell_counts(fx.flat(s, d))
+    store.store("counts", counts.filter("n > 1"))
+    return store.store("counts", counts.withColumn("n", F.col("n") * 2))
+
+
+@_query("""SELECT 25.0::DOUBLE AS cell_size, 4.5::DOUBLE AS nsigma, '[100.0, 50000.0]' AS uvrange, 2*ceil(50000.0::DOUBLE/25)::BIGINT+1 AS n_u, ceil(50000.0::DOUBLE/25)::BIGINT+1 AS n_v, w.*
+FROM (SELECT x::INT AS spw_id, 1.0e9::DOUBLE+x*5.0e8::DOUBLE AS ref_freq, 16 AS n_chan, 2 AS n_corr FROM range(2) t(x)) w""")
+def cache_metadata(s, d):
+    """Grid shape from a uv range, options and windows, as a cache gives them back."""
+    config = FlagConfig(cell_size=25.0, nsigma=4.5, uvrange=(100.0, 50000.0))
+    store = _cache(s).create(d, config, coords.grid_shape(coords.half_size(config.uvrange[1], config.cell_size)), fx.windows(s))
+    back, (n_u, n_v) = cache.open_readonly(s, store.path), store.grid_shape()
+    known = back.config()
+    fixed = [F.lit(known.cell_size).alias("cell_size"), F.lit(known.nsigma).alias("nsigma"), F.lit(str(list(known.uvrange))).alias("uvrange"), F.lit(n_u).cast("bigint").alias("n_u"), F.lit(n_v).cast("bigint").alias("n_v")]
+    return back.windows().select(*fixed, "spw_id", "ref_freq", "n_chan", "n_corr")
+
+
+@_query(f"""WITH {_FLAT}, c AS (SELECT DISTINCT {_K} FROM samples WHERE value IS NOT NULL AND NOT isnan(value)), g AS (SELECT a.x::INT AS cell_u, b.x::INT AS cell_v FROM range(21) a(x), range(11) b(x))
+SELECT spw_id, corr, g.cell_u, g.cell_v, count(*) FILTER (WHERE g.cell_u<>c.cell_u OR g.cell_v<>c.cell_v) AS n_neighbors FROM g JOIN c ON abs(g.cell_u-c.cell_u)<=2 AND abs(g.cell_v-c.cell_v)<=2 GROUP BY ALL""")
+def neighbor_map(s, d):
+    """Occupied neighbours of every cell of the grid, empty cells included."""
+    return thresholds.neighbour_map(_flat_cells(s, d), 5, fx.FLAT_N)

@@ -66,6 +66,13 @@ class ResultCache:
         fs, p = self._fs()
         fs.delete(p, True)
 
+    def delete_quietly(self) -> None:
+        """For the end of a process, where the session may be gone already."""
+        try:
+            self.delete()
+        except Exception:  # noqa: BLE001
+            pass
+
 
 def open_readonly(spark: SparkSession, path: str) -> ResultCache:
     cache = ResultCache(spark, path)

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fringeworks.operators.stats import count_min_max
 from fringeworks.schema import CELL
 from fringeworks.sources.cache import ResultCache
 
 
 def partial_counts(samples: DataFrame) -> DataFrame:
-    return samples.filter(~F.isnan("value")).groupBy(*CELL).agg(F.count("*").alias("n"), F.min("value").alias("vmin"), F.max("value").alias("vmax"))
+    return count_min_max(samples)
 
 
 def merge_counts(parts: DataFrame) -> DataFrame:
