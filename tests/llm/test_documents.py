@@ -5,13 +5,12 @@ import re
 import zlib
 from collections import defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 
-from fringeworks.llm import ann, graph, language_id, licenses, media, minhash, pii, queries, textvec, toxicity
+from fringeworks.llm import ann, graph, language_id, media, minhash, pii, queries, textvec, toxicity
 
-from ..conftest import SF, compare
+from ..conftest import SF
 
 EDGE = "doc_id long, text string, lang string, row int, n long, label string"
 
@@ -291,54 +290,6 @@ def test_recall_on_the_table(spark):
     assert sum(len(got[q] & {i for _, i in b}) for q, b in want.items()) >= 0.95 * sum(map(len, want.values()))
 
 
-# Licences
-
-
-def test_licenses_equal_sql(spark, duck):
-    compare(spark, duck, queries.QUERIES["op9_license_sentences"], queries.ORACLE_SQL["op9_license_sentences"])
-
-
-MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal
-in the Software without restriction, including without limitation the rights
-to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
-copies of the Software, and to permit persons to whom the Software is
-furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all
-copies or substantial portions of the Software.
-"""
-
-
-@pytest.mark.parametrize(
-    ("text", "want", "left"),
-    [
-        (MIT, "MIT", 0), ("text\nLICENSED under CC BY-NC 4.0.", "CC-BY-NC-4.0", 0), ("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.\n", "Apache-2.0,MIT", 0),
-        ("x. Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.", "Apache-2.0", 0),
-        ("You may not use this file except in compliance with the License.", "", 1), ("a licence of love", "", 0), (None, "", 0), ("", "", 0),
-    ],
-)
-def test_license_rules(spark, text, want, left):
-    df = spark.createDataFrame([(1, text, "x")], "doc_id long, text string, licenses string")
-    r = licenses.scan(df).first()
-    assert (r.licenses, r.n_unmatched) == (want, left)
-    con = duckdb.connect()
-    con.sql("create table documents (doc_id bigint, text varchar)")
-    con.execute("insert into documents values (1, ?)", [text])
-    assert sorted(map(str, con.sql(licenses.oracle_sql()).fetchall()[0])) == sorted(map(str, r))
-
-
-def test_license_sentences_of_another_table(spark):
-    df = spark.createDataFrame([(1, "Do what you like with it. More."), (2, "plain")], "doc_id long, text string")
-    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(df, {"do what you like with it": "WTF"}, [("Free", ("WTF",))]).collect()}
-    assert got == {1: ("<WTF>", "Free"), 2: ("", "")}
-
-
-def test_license_anchors():
-    assert all(any(a in s for a in licenses.ANCHORS) for s in licenses.SENTENCES)
-    assert {i for _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES.values())
-
-
 # Personal data
 
 
