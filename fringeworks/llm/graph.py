@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize
-
-
-def counted(df: DataFrame, label: str, condition=None) -> tuple[DataFrame, int]:
-    """``materialize`` and the number of rows written, or of those that meet a
-    condition, without another job."""
-    seen = Observation(f"{label}-{uuid.uuid4().hex}")
-    stored = materialize(df.observe(seen, F.count(F.lit(1) if condition is None else F.when(condition, 1)).alias("n")), label)
-    return stored, int(seen.get["n"] or 0)
+from .common import counted, drop_scratch, materialize
 
 
 def _ends(edges: DataFrame) -> DataFrame:
