@@ -102,47 +102,56 @@ def payload_of(text: str) -> tuple[int, bytes]:
 
 
 def _store(batches: Iterator[pa.RecordBatch], form: str) -> Iterator[pa.RecordBatch]:
-    encode = encode_bmp if form == "bmp" else encode_ppm
     for b in batches:
         sizes, media = [], []
         for t in b.column("text").to_pylist():
             n, payload = payload_of(t)
             sizes.append(n)
-            media.append(encode(np.frombuffer(payload, np.uint8).reshape(-1, ROW_PIXELS, 3)))
+            image = np.frombuffer(payload, np.uint8).reshape(-1, ROW_PIXELS, 3)
+            bmp = form == "bmp" or form == "mixed" and len(image) % 2 == 1
+            media.append((encode_bmp if bmp else encode_ppm)(image))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
-def store_texts(docs: DataFrame, form: str = "ppm", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def store_texts(docs: DataFrame, form: str = "mixed", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8 bytes, padded with blanks to a
-    positive multiple of 192, as a 64-pixel-wide RGB image.
+    positive multiple of 192, as a 64-pixel-wide RGB image: P6 (``ppm``), ``bmp``, or BMP
+    where the image has an odd number of rows and P6 where it has an even one
+    (``mixed``), so that equal texts have equal images.
 
     Null text counts as empty (one row of blanks); null ids, repeated rows and
     empty tables pass through; other columns are not read.
     """
-    if form not in ("ppm", "bmp"):
-        raise ValueError("form is ppm or bmp")
+    if form not in ("ppm", "bmp", "mixed"):
+        raise ValueError("form is ppm, bmp or mixed")
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(docs, text_col).alias("text"))
     return map_batches(picked, lambda it: _store(it, form), "doc_id long, n_bytes long, media binary")
 
 
-def _features(batches: Iterator[pa.RecordBatch], keep_tile: bool) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[list] = [[] for _ in range(8)]
         for data in b.column("media").to_pylist():
-            image = decode(data)
-            payload = np.ascontiguousarray(image).tobytes()
-            small = tile(image)
-            stored = npy(small)
-            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(small), stored if keep_tile else None, hashlib.sha256(stored).hexdigest())
+            if data is None:
+                row: tuple = (None,) * 8
+            else:
+                image = decode(data)
+                payload = np.ascontiguousarray(image).tobytes()
+                small = tile(image)
+                stored = npy(small)
+                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(small), stored, hashlib.sha256(stored).hexdigest())
             for o, v in zip(out, row, strict=True):
                 o.append(v)
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *[pa.array(o, k) for o, k in zip(out, kinds, strict=True)]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_npy", "tile_sha256"])
 
 
-def features(media: DataFrame, keep_tile: bool = True) -> DataFrame:
-    """Decode the stored bytes of ``store_texts`` and give their digests, the NPY
-    tile (8 x 9 RGB) and its difference hash, as hex.  ``keep_tile`` false
-    leaves the tile's bytes out and keeps their digest."""
+def features(media: DataFrame) -> DataFrame:
+    """Decode the stored bytes of ``store_texts`` and give their digests, the tile (8 x 9
+    RGB) as the bytes of an NPY file, and its difference hash, as hex.
+
+    Null media give null features; bytes that are no such image are an error.  Null ids,
+    repeated rows and empty tables pass through.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_npy binary, tile_sha256 string"
-    return map_batches(media.select("doc_id", "n_bytes", "media"), lambda it: _features(it, keep_tile), schema)
+    return map_batches(media.select("doc_id", "n_bytes", "media"), _features, schema)

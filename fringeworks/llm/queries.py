@@ -30,8 +30,7 @@ def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.features(media.store_texts(read(spark, sf_dir, "documents")), keep_tile=False)
-    return found.drop("tile_npy")
+    return media.features(media.store_texts(read(spark, sf_dir, "documents")))
 
 
 def op5_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
