@@ -7,8 +7,10 @@ gives exactly these two pieces.  Where no piece fits, the position is marked as
 failed in a bitfield and the last piece gives way to its next shorter prefix.
 Characters that no piece holds end a run; they become byte pieces.
 
-Runs of blanks, whose pieces share one score, are merged directly, since
-compatibility of neighbours needs distinct scores.
+Compatibility of neighbours settles an encoding only where merges differ in score.  The
+pieces of a run of blanks share one score, and the model's rule for ties, the
+leftmost pair first, then depends on the whole run; so such a run is merged by that
+rule.  All else, however long, is encoded by backtracking.
 """
 
 from __future__ import annotations
@@ -106,20 +108,21 @@ class PieceEncoder:
         longest: list[int] = [0] * len(text)
         for end, (size, i) in self.automaton.iter(text):
             longest[end - size + 1] = i
-        n, at, open_at = len(text), 0, (1 << (len(text) + 1)) - 1
+        n, at = len(text), 0
+        failed = bytearray(n // 8 + 1)
         out: list[int] = []
         token: int | None = longest[0]
         while at < n:
             last = out[-1] if out else None
             while True:
                 end = at + self.size[token]
-                if open_at >> end & 1 and (last is None or self.compatible(last, token)):
+                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or self.compatible(last, token)):
                     out.append(token)
                     at = end
                     token = longest[at] if at < n else None
                     break
                 if (token := self.shorter[token]) is None:
-                    open_at &= ~(1 << at)
+                    failed[at >> 3] |= 1 << (at & 7)
                     token = out.pop()
                     at -= self.size[token]
                     break
@@ -128,8 +131,7 @@ class PieceEncoder:
     def known_run(self, text: str) -> list[int]:
         if len(text) > 1 and text[1] == BLANK and text[0] == BLANK:
             return [self.ids[p] for p in self.merge(text)]
-        # A bitfield as long as a giant run costs its square; a direct merge does not.
-        return self.backtrack(text) if len(text) <= 512 else [self.ids[p] for p in self.merge(text)]
+        return self.backtrack(text)
 
     def chunk(self, text: str) -> list[int]:
         out: list[int] = []
