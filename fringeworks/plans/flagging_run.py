@@ -118,6 +118,14 @@ def replace_main(spark: SparkSession, path: str, merged: DataFrame) -> int:
     return int(seen.get["n"] or 0)
 
 
+def write_flags(spark: SparkSession, path: str, new: DataFrame) -> int:
+    """Set the flags of ``new`` (row_id, chan, corr; a value beside them is not looked at)
+    in the data set's main table, and give the number that were not set before.  No flag
+    is ever cleared."""
+    merged = flagging.merge_flags(spark.read.parquet(f"{path}/main.parquet"), new.select("row_id", "chan", "corr"))
+    return replace_main(spark, path, merged)
+
+
 def run(spark: SparkSession, source: str, config: FlagConfig, plot_dir: str | None = None, persist_cache: bool = False) -> dict:
     """Flag the data set in ``source`` in place.
 

@@ -3,8 +3,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,17 @@ def scan(data: Dataset, spw_id: int | None = None) -> DataFrame:
     return data.main if spw_id is None else data.main.filter(F.col("spw_id") == spw_id)
 
 
+def iter_chunks(data: Dataset, chunk_size: int, spw_id: int | None = None) -> Iterator[pa.Table]:
+    """The rows of one spectral window, or all, in row order, ``chunk_size`` numbers of rows
+    at a time; so the caller holds one chunk, whatever the size of the table."""
+    rows = scan(data, spw_id)
+    first, last = rows.agg(F.min("row_id"), F.max("row_id")).first()
+    for start in range(first, last + 1, chunk_size) if first is not None else ():
+        part = rows.filter(F.col("row_id").between(start, start + chunk_size - 1)).orderBy("row_id").toArrow()
+        if part.num_rows:
+            yield part
+
+
 def _in_use(main: DataFrame, column: str) -> bool:
     head = main.orderBy("row_id").limit(MODEL_ROWS).select(column)
     lit = F.exists(column, lambda row: F.exists(row, lambda z: F.hypot(z["re"].cast("double"), z["im"].cast("double")) > 0))
