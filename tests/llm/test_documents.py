@@ -152,11 +152,25 @@ def test_near_duplicates_edges(edge, spark):
     got = defaultdict(list)
     for r in rows:
         got[r.doc_id].append((r.n_shingles, r.component_id, r.kept))
-    assert got[1] == got[1] and [got[i][0][0] for i in (1, 2, 3)] == [0, 0, 0] and got[None] == [(1, None, True)]
+    assert [got[i] for i in (1, 2, 3)] == [[(0, 1, True)], [(0, 2, True)], [(0, 3, True)]] and got[None] == [(1, None, True)]
     assert got[5] == [(3, 5, True)] * 2 and got[6] == [(3, 5, False)] and got[4][0][0] == 3
     assert minhash.near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    """Each row by its own text, whichever comes first; a row without an id links nothing."""
+    rng = np.random.default_rng(6)
+    a, b, c = ([f"{x}{j}" for j in rng.integers(0, 300, 80)] for x in "abc")
+    near = lambda t: " ".join([*t[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (5, " ".join(c)), (None, " ".join(c)), (None, near(c)), (7, " ".join(c)), (7, "plain and alone")]
+    want = sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 5, True), (7, 5, False), (7, 7, True)]) + [(None, None, True)] * 2
+    for order in (rows, rows[::-1]):
+        got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), width=2).collect()]
+        assert sorted(x for x in got if x[0] is not None) + [x for x in got if x[0] is None] == want
+    keyed = spark.createDataFrame([(1, "a b c", 70), (2, "a b c", 71), (3, None, 72)], "doc_id long, text string, mark long")
+    assert {(r.mark, r.kept) for r in minhash.near_duplicates(keyed, key_col="mark").collect()} == {(70, True), (71, False), (72, True)}
+
+
 def test_circulant_signature():
     rng = np.random.default_rng(0)
     s = np.unique(rng.integers(0, 1 << 63, 50).astype(np.uint64))
@@ -201,6 +215,29 @@ def test_language_edges(spark, edge):
     assert language_id.identify(edge.limit(0), model).count() == 0
 
 
+def test_language_sample_of_many_copies(spark):
+    """A huge group of copies counts as one text, no language is left out, and the model
+    depends on neither order nor partitions."""
+    rng = np.random.default_rng(9)
+    words = {lang: ["".join(rng.choice(list(letters), 5)) for _ in range(60)] for lang, letters in (("xx", "aeioubcd"), ("yy", "mnpqrstu"), ("zz", "äöüßklvw"))}
+    text = lambda lang: " ".join(rng.choice(words[lang], 12))
+    rows = [(0, "one and the same text, thousands of times", "xx")] * 6000 + [(i, text(lang), lang) for i, lang in enumerate(["xx"] * 300 + ["yy"] * 300 + ["zz"] * 3, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, sample_rows=300)
+    assert model.langs == ["xx", "yy", "zz"]
+    again = language_id.train(df.repartition(7, "doc_id").orderBy("text"), sample_rows=300)
+    assert again.langs == model.langs and (again.weights == model.weights).all() and (again.trust == model.trust).all()
+    got = language_id.identify(df.filter("doc_id > 0"), model, keep=("doc_id", "lang")).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
+
+
+def test_many_languages(spark):
+    """More languages than the sample has room for get their least share each."""
+    rows = [(i, f"{'abcdefghijklmnopqrst'[k % 20]}{k}x " * 9 + f"w{i}", f"l{k}") for i, k in enumerate(list(range(40)) * 12)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=30)
+    assert len(model.langs) == 40
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 5, 9, 40])
 def test_codewords_are_apart(n):
     code = language_id.codewords(n)
@@ -233,6 +270,18 @@ def test_toxicity_learns(spark):
     assert not any(r.toxic for r in toxicity.grade(docs, None).collect()) and toxicity.grade(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_long_and_odd_texts(spark, edge):
+    rows = [(i, "calm water " * 20_000 if i % 2 else "you idiot fool " * 20_000) for i in range(8)] + [(i, f"quiet word w{i}" if i % 2 else f"you idiot fool w{i}") for i in range(8, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.toxic for r in toxicity.grade(docs, model).collect()}
+    assert got == {i: i % 2 == 0 for i in range(60)}
+    odd = toxicity.grade(edge.withColumn("severity", edge.n), model, keep=("doc_id", "row", "severity", "text"))
+    assert odd.columns[:4] == ["doc_id", "row", "severity", "text"] and odd.count() == edge.count()
+    assert toxicity.train(docs.limit(0), labels) is None
+
+
 def test_toxicity_held_out(spark):
     sf = SF.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -274,6 +323,43 @@ def test_search(spark):
     assert hits >= 0.98 * total and [i for i, _ in got[50]] == [i for _, i in want[50]] and 3050 not in got
 
 
+def test_search_among_copies(spark):
+    """A very common vector, as query and as candidate, and columns named as the operator
+    names its own: exact against brute force."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(120)] + [(i, [1.0] * 16) for i in range(120, 400)] + [(401, [2.0] * 16), (401, [2.0] * 16)]
+    df = spark.createDataFrame([(i, v, 1, 2.0, b"") for i, v in rows], "vec_id long, embedding array<double>, id long, score double, code binary")
+    got = defaultdict(list)
+    for r in ann.search(df.filter("vec_id % 50 = 0"), df).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    want = brute_search(dict(rows).items(), 5)
+    assert got.keys() == want.keys()
+    for q, best in want.items():
+        found = sorted(got[q])
+        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5]
+        assert np.allclose([s for _, _, s in found], [-s for s, _ in best], atol=1e-12)
+    assert [i for _, i, _ in sorted(got[150])] == [120, 121, 122, 123, 124] and [i for _, i, _ in sorted(got[200])] == [120, 121, 122, 123, 124]
+
+
+def test_estimates_hold_their_bounds():
+    """Population counts give the products that the signs do, within the bounds."""
+    rng = np.random.default_rng(7)
+    x, q = (rng.normal(size=(n, 48)) for n in (500, 20))
+    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, q))
+    codes, own = ann.encode(x)
+    signs = np.where((x @ ann.rotation(48)) >= 0, 1.0, -1.0)
+    words = np.ascontiguousarray(codes.T)
+    ones = np.bitwise_count(words).sum(axis=0, dtype=np.int64)
+    inside = []
+    for j, (planes, low, step, total) in enumerate(zip(*ann.quantise(q), strict=True)):
+        guess, bound = ann.estimate(planes, low, step, total, words, ones, own)
+        turned = q[j] @ ann.rotation(48)
+        level = low + np.rint((turned - low) / step) * step
+        assert np.allclose(guess, signs @ level / np.sqrt(len(level)) / own)
+        inside.append(np.abs(guess - x @ q[j]) <= bound)
+    assert np.mean(inside) > 0.93
+
+
 def test_search_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     rows = ann.search(df.filter("vec_id = 0"), df).collect()

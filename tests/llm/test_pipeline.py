@@ -11,7 +11,6 @@ from fringeworks.llm import chunks, pii
 
 from ..conftest import SF
 from .test_documents import brute_components
-from .test_tokens import check_pieces
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -74,7 +73,11 @@ def test_packing(staged):
     for r in rows:
         assert r.doc_tokens == n[r.doc_id]
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
-    assert got == n and check_pieces([], {}, 4096) is None
+    assert got == n
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in v) == max(o + n for o, n in v) <= 4096 for v in parts.values())
 
 
 def test_odd_tables(spark):
@@ -91,6 +94,14 @@ def test_odd_tables(spark):
     assert "n_entities" in pii.pseudonymize(odd).columns
 
 
+def test_rows_of_repeated_ids(spark):
+    """A unique text is never lost with its id, and of repeated rows one stays."""
+    rows = [(0, "same words in this text"), (1, "same words in this text"), (1, "a text that is nowhere else"), (2, "twice the very same row"), (2, "twice the very same row"), (None, "same words in this text"), (3, "w " * 200_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == sorted([("0", rows[0][1]), ("1", rows[2][1]), ("2", rows[3][1]), ("None", rows[5][1]), ("3", rows[6][1])])
+
+
 def test_run_equals_stages(spark, staged):
     a = corpus_pipeline.run(spark, SF).collect()
     assert sorted(a) == sorted(staged["packing"][1].collect())
