@@ -88,9 +88,10 @@ class FlagRun:
         return flagging.merge_flags(self.data.main, self.flags)
 
 
-def replace_main(spark: SparkSession, path: str, merged: DataFrame) -> int:
+def replace_main(spark: SparkSession, path: str, merged: DataFrame, ordered: bool = False) -> int:
     """Write ``merged`` beside the main table, counting new flags on the way, then swap
-    the folders.
+    the folders.  ``ordered`` writes the rows in ranges of row_id, each in order, at the
+    price of another shuffle; scans of row ranges then read few files.
 
     A failure before the swap leaves the table as it was; a failed second rename puts the
     old folder back.  If the driver is lost between the two renames, the whole old table is
@@ -102,7 +103,8 @@ def replace_main(spark: SparkSession, path: str, merged: DataFrame) -> int:
     tag = uuid.uuid4().hex
     new, old, main = (hadoop(f"{path}/{x}") for x in (f"main.new-{tag}", f"main.old-{tag}", "main.parquet"))
     seen = Observation(f"flags-{tag}")
-    merged.observe(seen, F.sum("n_new").alias("n")).drop("n_new").write.parquet(new.toString())
+    out = merged.repartitionByRange("row_id").sortWithinPartitions("row_id") if ordered else merged
+    out.observe(seen, F.sum("n_new").alias("n")).drop("n_new").write.parquet(new.toString())
     fs = main.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.rename(main, old):
         raise OSError(f"cannot rename {main.toString()}")
@@ -118,12 +120,12 @@ def replace_main(spark: SparkSession, path: str, merged: DataFrame) -> int:
     return int(seen.get["n"] or 0)
 
 
-def write_flags(spark: SparkSession, path: str, new: DataFrame) -> int:
+def write_flags(spark: SparkSession, path: str, new: DataFrame, ordered: bool = False) -> int:
     """Set the flags of ``new`` (row_id, chan, corr; a value beside them is not looked at)
     in the data set's main table, and give the number that were not set before.  No flag
     is ever cleared."""
     merged = flagging.merge_flags(spark.read.parquet(f"{path}/main.parquet"), new.select("row_id", "chan", "corr"))
-    return replace_main(spark, path, merged)
+    return replace_main(spark, path, merged, ordered)
 
 
 def run(spark: SparkSession, source: str, config: FlagConfig, plot_dir: str | None = None, persist_cache: bool = False) -> dict:
