@@ -93,7 +93,8 @@ def scaled(spark: SparkSession) -> dict[str, float]:
             cells = store(step, "cells", stats.hybrid_stats(kept))
             thr = store(step, "thresholds", thresholds.thresholds(cells, cell, size, widths=(3000.0, 3000.0, 6500.0)))
             found = store(step, "flags", flagging.flags(kept, thr, thr.count()))
-            store(step, "merged", flagging.merge_flags(main, found))
+            # As the published run does, only the column of flags is written anew.
+            store(step, "merged", flagging.merge_flags(main.select("row_id", "flag"), found))
     finally:
         shutil.rmtree(root, ignore_errors=True)
     return out

@@ -52,28 +52,35 @@ def rollup_summary(judged_samples: DataFrame) -> DataFrame:
 
 
 def _masks(new: DataFrame) -> DataFrame:
-    """(row_id, _keys): for each correlation an array of 64-bit words, a bit per
-    channel.  One shuffle, by row; a row holds at most its channels times correlations."""
-    chan = F.col("chan").cast("int")
-    bits = new.repartition("row_id").groupBy("row_id", F.col("corr").cast("int").alias("corr"), F.shiftright(chan, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(chan as int) & 63)")).alias("bits"))
-    words = bits.groupBy("row_id", "corr").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"), F.max("word").alias("top"))
-    dense = F.transform(F.sequence(F.lit(0), F.col("top")), lambda w: F.coalesce(F.element_at("held", w), F.lit(0).cast("bigint")))
-    return words.select("row_id", "corr", dense.alias("words")).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("corr", "words"))).alias("_keys"))
+    """(row_id, _any, _keys): 64-bit words with a bit per channel, of all correlations
+    together and of each.  One shuffle, by row; a row holds at most its channels times
+    correlations."""
+    none, corr = F.lit(0).cast("bigint"), F.col("corr").cast("int").alias("corr")
+    bits = new.repartition("row_id").groupBy("row_id", corr, F.shiftright(F.col("chan").cast("int"), 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(chan as int) & 63)")).alias("bits"))
+    held = bits.groupBy("row_id").agg(F.collect_list(F.struct("corr", "word", "bits")).alias("held"), F.max("corr").alias("last"), F.max("word").alias("top"))
+    total = lambda keep: F.aggregate(F.filter("held", keep), none, lambda s, h: s.bitwiseOR(h["bits"]))
+    words = lambda keep: F.transform(F.sequence(F.lit(0), F.col("top")), lambda w: total(lambda h: (h["word"] == w) & keep(h)))
+    each = F.transform(F.sequence(F.lit(0), F.col("last")), lambda p: words(lambda h: h["corr"] == p))
+    return held.select("row_id", words(lambda h: F.lit(True)).alias("_any"), each.alias("_keys"))
+
+
+def _bit(words: Column, c: Column) -> Column:
+    return F.coalesce(F.getbit(F.get(words, F.shiftright(c, 6)), F.pmod(c, F.lit(64))) == 1, F.lit(False))
 
 
 def merge_flags(main: DataFrame, new: DataFrame) -> DataFrame:
     """``main`` with flags set where ``new`` (row_id, chan, corr) says so; no flag is
     ever cleared.  Adds n_new, the flags set in the row that were not before.
 
-    Each flag is looked up by index in its correlation's bits.
+    Each channel is looked up by index in the row's bits; only channels with a new flag are
+    looked into.
     """
     both = main.join(_masks(new), "row_id", "left")
-    word = lambda c, p: F.get(F.element_at("_keys", p), F.shiftright(c, 6))
-    hit = lambda c, p: F.coalesce(F.getbit(word(c, p), F.pmod(c, F.lit(64))) == 1, F.lit(False))
-    merged = F.transform("flag", lambda row, c: F.transform(row, lambda f, p: f | hit(c, p)))
-    ones = lambda cube: F.aggregate(cube, F.lit(0), lambda s, row: s + F.size(F.filter(row, lambda f: f)))
-    old, untouched = F.col("flag"), F.col("_keys").isNull()
-    out = both.withColumns({"_new": F.when(untouched, old).otherwise(merged)})
+    touched = lambda c: _bit(F.col("_any"), c)
+    merged = F.transform("flag", lambda row, c: F.when(touched(c), F.transform(row, lambda f, p: f | _bit(F.get("_keys", p), c))).otherwise(row))
+    ones = lambda cube: F.aggregate(F.filter(cube, lambda row, c: touched(c)), F.lit(0), lambda s, row: s + F.size(F.filter(row, lambda f: f)))
+    old, untouched = F.col("flag"), F.col("_any").isNull()
+    out = both.withColumn("_new", F.when(untouched, old).otherwise(merged))
     out = out.withColumn("n_new", F.when(untouched, F.lit(0)).otherwise(ones(F.col("_new")) - ones(old)).cast("bigint"))
     return out.select(*[F.col("_new").alias("flag") if c == "flag" else F.col(f"`{c}`") for c in main.columns], "n_new")
 

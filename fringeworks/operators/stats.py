@@ -122,12 +122,13 @@ def _quantiles(slots: Column, n: Column, lo: Column, width: Column, shares: tupl
 def hybrid_stats(samples: DataFrame, n_bins: int = 256) -> DataFrame:
     """n, median and std of every cell: exact for cells of at most EXACT samples, whose
     slots are their values, and from ``n_bins`` bins, the slots of the others."""
-    ranged = with_ranges(samples)
+    ranges = count_min_max(samples)
     lo, length = _range(F.col("vmin"), F.col("vmax"))
     small = F.col("n") <= EXACT
     slot = F.when(small, F.col("value")).otherwise(_bin(F.col("value"), lo, length, n_bins).cast("float"))
-    slots = ranged.select(*CELL, slot.alias("slot"), "vmin", "vmax").groupBy(*CELL, "slot").agg(F.count("*").alias("k"), F.min("vmin").alias("vmin"), F.min("vmax").alias("vmax"))
-    cells = slots.groupBy(*CELL).agg(F.sum("k").alias("n"), F.min("vmin").alias("vmin"), F.min("vmax").alias("vmax"), F.sort_array(F.collect_list(F.struct("slot", "k"))).alias("slots"))
+    # The ranges are joined twice, to samples and to cells, from one exchange.
+    slots = _valid(samples).join(ranges, CELL).select(*CELL, slot.alias("slot")).groupBy(*CELL, "slot").agg(F.count("*").alias("k"))
+    cells = slots.groupBy(*CELL).agg(F.sort_array(F.collect_list(F.struct("slot", "k"))).alias("slots")).join(ranges, CELL)
     xs = F.flatten(F.transform("slots", lambda e: F.array_repeat(e["slot"], e["k"].cast("int"))))
     exact = cells.withColumn("xs", F.when(small, xs)).withColumn("middle", F.when(small, _middle(F.col("xs"))))
     off = F.sort_array(F.transform("xs", lambda x: F.abs(x.cast("double") - F.col("middle")).cast("float")))
