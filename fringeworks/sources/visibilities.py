@@ -110,11 +110,11 @@ def time_boundaries(main: DataFrame) -> DataFrame:
 def row_chunks(main: DataFrame, n_chunks: int) -> DataFrame:
     """(chunk, start_row, n_rows): at most ``n_chunks`` ranges of rows, none of
     which splits an integration where rows are in time order; the last takes the rest."""
-    steps = main.groupBy("time").agg(F.min("row_id").alias("first_row"))
-    total = main.agg(F.count("*").alias("total"))
-    counted = steps.withColumn("rank", F.row_number().over(Window.orderBy("first_row")) - 1).withColumn("n_steps", F.count("*").over(Window.partitionBy()))
+    steps = main.groupBy("time").agg(F.min("row_id").alias("first_row"), F.count("*").alias("n_rows"))
+    every = Window.partitionBy()
+    counted = steps.withColumns({"rank": F.row_number().over(Window.orderBy("first_row")) - 1, "n_steps": F.count("*").over(every), "total": F.sum("n_rows").over(every)})
     per = F.when(F.col("n_steps") <= n_chunks, F.lit(1)).otherwise(F.expr(f"n_steps div {int(n_chunks)}"))
     chunk = F.least(F.floor(F.col("rank") / per), F.least(F.col("n_steps"), F.lit(int(n_chunks))) - 1).cast("int")
-    starts = counted.withColumn("chunk", chunk).groupBy("chunk").agg(F.min("first_row").alias("start_row"))
+    starts = counted.withColumn("chunk", chunk).groupBy("chunk").agg(F.min("first_row").alias("start_row"), F.min("total").alias("total"))
     after = F.lead("start_row").over(Window.orderBy("start_row"))
-    return starts.crossJoin(F.broadcast(total)).select("chunk", "start_row", (F.coalesce(after, "total") - F.col("start_row")).alias("n_rows"))
+    return starts.select("chunk", "start_row", (F.coalesce(after, "total") - F.col("start_row")).alias("n_rows"))
