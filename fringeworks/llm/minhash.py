@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import drop_scratch, map_batches, materialize, text_column
-from .graph import components, counted, relabelled
+from .common import counted, drop_scratch, map_batches, materialize, text_column
+from .graph import components, relabelled
 
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8**8)**56 = 3e-5.
 BANDS, ROWS = 56, 8
@@ -172,10 +172,10 @@ def _measured(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     deal, whole = Window.partitionBy("group", "deal").orderBy("h", "node"), Window.partitionBy("group").orderBy("h", "node")
     dealt = around.filter("label = group").select("group", "node", h.alias("h"), F.pmod(h, F.lit(CORE_DEALS)).alias("deal"))
     dealt = dealt.withColumn("k", F.row_number().over(deal)).filter(f"k <= {CORE_MEMBERS}")
-    chosen = dealt.withColumn("k", F.row_number().over(whole)).filter(f"k <= {CORE_MEMBERS}").select("group", "node")
-    votes = chosen.join(sets.hint("merge"), "node").select("group", F.explode("shingles").alias("shingle")).groupBy("group", "shingle").agg(F.count("*").alias("votes"))
-    size = chosen.groupBy("group").agg(F.count("*").alias("size"))
-    core = votes.join(size.hint("merge"), "group").filter("2 * votes > size").groupBy("group").agg(F.collect_list("shingle").alias("core"))
+    chosen = dealt.withColumn("k", F.row_number().over(whole)).filter(f"k <= {CORE_MEMBERS}")
+    chosen = chosen.select("group", "node", F.count("*").over(Window.partitionBy("group")).alias("size"))
+    votes = chosen.join(sets.hint("merge"), "node").select("group", "size", F.explode("shingles").alias("shingle")).groupBy("group", "shingle").agg(F.count("*").alias("votes"), F.min("size").alias("size"))
+    core = votes.filter("2 * votes > size").groupBy("group").agg(F.collect_list("shingle").alias("core"))
     both = around.join(sets.hint("merge"), "node").join(core.hint("merge"), "group", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
     both = both.withColumns({"extra": F.array_except("shingles", "core"), "missing": F.array_except("core", "shingles")})
     cost = (100 * F.size("missing") + percent * F.size("extra")).cast("long")
@@ -202,11 +202,13 @@ def _possible(measured: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     able = spread.join(shared.select("group", "shingle", "f", "low").hint("merge"), ["group", "shingle"])
     able = able.withColumns({"able": F.count("*").over(each), "low": F.min("low").over(each), "place": F.row_number().over(each.orderBy("f", "shingle"))})
     need = F.greatest(F.lit(1), F.ceil((F.col("cost") + F.col("low") - (100 - percent) * F.col("core")) / F.lit(100 + percent)))
-    first = materialize(able.filter(F.col("place") <= F.col("able") - need + 1).select("group", "shingle", "node", "n", "label"), "minhash-prefix")
+    rest = (F.col("able") - F.col("place") + 1).alias("rest")
+    first = materialize(able.filter(F.col("place") <= F.col("able") - need + 1).select("group", "shingle", "node", "n", "label", "core", "cost", rest), "minhash-prefix")
     x, y = first.alias("x"), first.alias("y").hint("merge")
     same = (F.col("x.group") == F.col("y.group")) & (F.col("x.shingle") == F.col("y.shingle"))
     sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    pairs = x.join(y, same & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & sizes)
+    enough = (100 + percent) * F.least("x.rest", "y.rest") >= F.col("x.cost") + F.col("y.cost") - (100 - percent) * F.col("x.core")
+    pairs = x.join(y, same & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & sizes & enough)
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), first
 
 
