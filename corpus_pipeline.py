@@ -53,6 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = minhash.near_duplicates(keyed, key_col="row_key").filter("doc_id is not null")
     # One row for each id and text; those of repeated rows come back once, below.
     rows = materialize(found.groupBy("doc_id", "row_key").agg(F.first("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"), "dedup-rows")
+    drop_scratch(found)
     out = keyed.join(rows.select("doc_id", "row_key").hint("shuffle_hash"), ["doc_id", "row_key"], "left_anti")
     again = rows.filter("kept").select("doc_id", "row_key")
     if not again.isEmpty():
